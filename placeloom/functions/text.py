@@ -50,7 +50,7 @@ def name_norm(name: Column) -> Column:
 def name_tokens(norm: Column) -> Column:
     """Distinct words of a normalised name, generic ones dropped unless all are."""
     words = F.array_distinct(F.filter(F.split(norm, " "), lambda w: w != ""))
-    generic = F.array(*[F.lit(w) for w in fixed.GENERIC_WORDS])
+    generic = F.split(F.lit(" ".join(fixed.GENERIC_WORDS)), " ")
     kept = F.array_except(words, generic)
     return F.when(F.size(kept) > 0, kept).otherwise(words)
 

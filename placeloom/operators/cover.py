@@ -45,30 +45,27 @@ def cover_bbox(areas: DataFrame) -> DataFrame:
         .when(F.col("cell_radius_m") <= 0, F.raise_error(F.lit("cell_radius_m must be positive")))
         .otherwise(spacing)
     )
-    carried = [c for c in areas.columns]
-    rows = (
-        areas.withColumn("_spacing", checked)
-        .withColumn("_lat_step", F.col("_spacing") / F.lit(fixed.METRES_PER_DEGREE_LAT))
-        .withColumn(
-            "i",
-            F.explode(
-                F.sequence(
-                    F.lit(0).cast("bigint"),
-                    _steps(F.col("north") - F.col("south"), F.col("_lat_step")),
-                )
-            ),
-        )
-        .withColumn("lat", F.col("south") + F.col("i") * F.col("_lat_step"))
-        .where(F.col("lat") <= F.col("north") + F.col("_lat_step"))
-        .withColumn("_lng_step", F.col("_spacing") / metres_per_degree_lng(F.col("lat")))
-        .withColumn("_cols", _steps(F.col("east") - F.col("west"), F.col("_lng_step")))
-        # Columns j = 0.._cols; the last may overshoot by at most one step.
-        .withColumn("_kept", _kept_columns())
-    )
-    rows = rows.repartition(shuffle_width(areas.sparkSession), "area_id", "i")
-    cells = rows.withColumn(
-        "j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_kept") - 1))
+    carried = areas.columns
+    lat_step = F.col("_spacing") / F.lit(fixed.METRES_PER_DEGREE_LAT)
+    zero = F.lit(0).cast("bigint")
+    rows = areas.withColumn("_spacing", checked).select(
+        "*",
+        F.explode(
+            F.sequence(zero, _steps(F.col("north") - F.col("south"), lat_step))
+        ).alias("i"),
     )
+    lat = F.col("south") + F.col("i") * lat_step
+    lng_step = F.col("_spacing") / metres_per_degree_lng(F.col("lat"))
+    rows = rows.withColumn("lat", lat).where(F.col("lat") <= F.col("north") + lat_step)
+    rows = rows.select(
+        *carried,
+        "i",
+        "lat",
+        lng_step.alias("_lng_step"),
+        _steps(F.col("east") - F.col("west"), lng_step).alias("_cols"),
+    ).repartition(shuffle_width(areas.sparkSession), "area_id", "i")
+    # Columns j = 0.._cols; the last may overshoot by at most one step.
+    cells = rows.select("*", F.explode(F.sequence(zero, _kept_columns() - 1)).alias("j"))
     return cells.select(
         *carried,
         "i",

@@ -85,42 +85,53 @@ def profile_circles(circles: DataFrame, radius: Column) -> CircleProfile:
 
 def bucket_points(points: DataFrame, lat: str, lng: str, classes: list[int]) -> DataFrame:
     """One bucket per radius class for every point with a position."""
+    placed = points.where(F.col(lat).isNotNull() & F.col(lng).isNotNull())
     if len(classes) == 1:
-        keyed = points.withColumn("g_class", F.lit(classes[0]))
+        k = F.lit(classes[0])
     else:
-        keyed = points.withColumn("g_class", F.explode(F.array(*[F.lit(k) for k in classes])))
-    k = F.col("g_class")
-    keyed = keyed.where(F.col(lat).isNotNull() & F.col(lng).isNotNull())
-    keyed = keyed.withColumn("g_row", F.floor(F.col(lat) / _row_height(k)))
-    return keyed.withColumn("g_col", _column_of(F.col(lng), _columns_in_row(F.col("g_row"), k)))
+        placed = placed.withColumn("_k", F.explode(F.array(*[F.lit(c) for c in classes])))
+        k = F.col("_k")
+    row = F.floor(F.col(lat) / _row_height(k))
+    return placed.withColumns(
+        {
+            "g_class": k,
+            "g_row": row,
+            "g_col": _column_of(F.col(lng), _columns_in_row(row, k)),
+        }
+    ).drop("_k")
 
 
 def bucket_circles(circles: DataFrame, lat: str, lng: str, radius: Column) -> DataFrame:
     """Every bucket a circle's bounding box touches, in its own radius class."""
     lat_c, lng_c = F.col(lat), F.col(lng)
     reach = radius / F.lit(_BOX_M_PER_DEGREE)
-    keyed = circles.where(lat_c.isNotNull() & lng_c.isNotNull() & radius.isNotNull())
-    keyed = keyed.withColumns({"g_class": radius_class(radius), "_reach": reach})
-    height = _row_height(F.col("g_class"))
-    south, north = lat_c - F.col("_reach"), lat_c + F.col("_reach")
-    keyed = keyed.withColumn(
-        "g_row", F.explode(F.sequence(F.floor(south / height), F.floor(north / height)))
+    south, north = lat_c - reach, lat_c + reach
+    height = _row_height(radius_class(radius))
+    rows = F.sequence(F.floor(south / height), F.floor(north / height))
+    keyed = circles.where(lat_c.isNotNull() & lng_c.isNotNull() & radius.isNotNull()).select(
+        "*", radius_class(radius).alias("g_class"), F.explode(rows).alias("g_row")
     )
-    columns = _columns_in_row(F.col("g_row"), F.col("g_class"))
     edge = F.greatest(F.abs(south), F.abs(north))
     half_width = F.when(edge >= _POLAR_LAT, F.lit(360.0)).otherwise(
-        F.col("_reach") / F.cos(F.radians(edge))
+        reach / F.cos(F.radians(edge))
     )
-    keyed = keyed.withColumns({"_n": columns, "_half": half_width})
-    turn = lambda x: F.floor((x + 180.0) / 360.0 * F.col("_n"))
-    first, last = turn(lng_c - F.col("_half")), turn(lng_c + F.col("_half"))
-    span = F.when(
-        (last - first + 1 >= F.col("_n")) | (F.col("_half") >= 180.0),
-        F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1),
-    ).otherwise(F.sequence(first, last))
-    keyed = keyed.withColumn("_c", F.explode(span))
-    return keyed.withColumn("g_col", F.pmod(F.col("_c"), F.col("_n"))).drop(
-        "_reach", "_n", "_half", "_c"
+    keyed = keyed.select(
+        "*",
+        _columns_in_row(F.col("g_row"), F.col("g_class")).alias("_n"),
+        half_width.alias("_half"),
+    )
+    n, half = F.col("_n"), F.col("_half")
+    turn = lambda x: F.floor((x + 180.0) / 360.0 * n)
+    first, last = turn(lng_c - half), turn(lng_c + half)
+    whole_row = (last - first + 1 >= n) | (half >= 180.0)
+    span = F.when(whole_row, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(
+        F.sequence(first, last)
+    )
+    return keyed.select(
+        *circles.columns,
+        "g_class",
+        "g_row",
+        F.explode(F.transform(span, lambda c: F.pmod(c, n))).alias("g_col"),
     )
 
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placeloom import fixed
@@ -118,74 +118,78 @@ def merge_copies(frontier: DataFrame) -> DataFrame:
     )
 
 
+def cell_history(log: DataFrame, scope: str) -> DataFrame:
+    """One row per cell of a scope, (identity, split), from a raw log."""
+    return latest_log(log.where(F.col("scope") == scope)).select(*CELL_KEY, "split")
+
+
 def plan_level(
-    frontier: DataFrame, log: DataFrame | None, scope: str, resume: bool = True
+    frontier: DataFrame, history: DataFrame | None, resume: bool = True
 ) -> DataFrame:
-    """Frontier x resume log: adds ``searched_before`` and ``split_before``.
+    """Frontier x history: adds ``searched_before`` and ``split_before``.
 
-    Depth and all search parameters except the scope are ignored, as is a
-    geometry's history under other scopes.
+    Cells meet on their geometry alone: depth and all search parameters except
+    the scope the history was taken for are ignored.
     """
-    if not resume:
-        return with_cell_identity(frontier).withColumns(
-            {"searched_before": F.lit(False), "split_before": F.lit(False)}
-        )
-    cells = merge_copies(frontier)
-    if log is None:
+    cells = merge_copies(frontier) if resume else with_cell_identity(frontier)
+    if not resume or history is None:
         return cells.withColumns(
             {"searched_before": F.lit(False), "split_before": F.lit(False)}
         )
-    known = (
-        latest_log(log.where(F.col("scope") == scope))
-        .select(*CELL_KEY, F.col("split").alias("_split"), F.lit(True).alias("_seen"))
-    )
-    joined = cells.join(known, CELL_KEY, "left")
+    seen = history.select(*CELL_KEY, F.col("split").alias("_split"))
+    joined = cells.join(seen, CELL_KEY, "left")
     return joined.withColumns(
         {
-            "searched_before": F.coalesce(F.col("_seen"), F.lit(False)),
+            "searched_before": F.col("_split").isNotNull(),
             "split_before": F.coalesce(F.col("_split"), F.lit(False)),
         }
-    ).drop("_seen", "_split")
+    ).drop("_split")
 
 
-def judge_hits(
-    hits: DataFrame,
-    settings: SweepSettings,
-    known_ids: DataFrame | None = None,
-    max_hits: int | None = None,
-) -> DataFrame:
-    """Flag every result: under the bar, wrong kind, kept, new (first claimant).
+def judge_hits(hits: DataFrame, settings: SweepSettings) -> DataFrame:
+    """Flag every result: under the bar, wrong kind, kept.
 
     The bar is checked first, so a place under it never counts as a wrong kind.
-    A new place is credited to the earliest cell in the queue that kept it.
-    ``max_hits`` is a proven bound on the results (cells times the cap); when it
-    is small the ids in play are broadcast, so the ids ever stored are scanned
-    but not shuffled.
     """
     low = below_bar(F.col("user_rating_count"), settings.min_reviews)
     wanted = F.lit(True)
     if settings.restaurants_only:
         wanted = wanted_kind(F.col("primary_type"), list(settings.included_types))
-    judged = hits.withColumn("is_below_bar", low)
-    judged = judged.withColumn("is_wrong_kind", ~F.col("is_below_bar") & ~wanted)
-    judged = judged.withColumn(
-        "is_kept", ~F.col("is_below_bar") & ~F.col("is_wrong_kind") & has_key(F.col("place_id"))
-    )
-    claims = (
-        judged.where("is_kept").groupBy("place_id").agg(F.min("queue_pos").alias("queue_pos"))
-    )
-    if known_ids is not None:
-        known = known_ids.select("place_id")
-        if max_hits is not None and max_hits <= BROADCAST_ROWS:
-            in_play = claims.select("place_id")
-            known = known.join(F.broadcast(in_play), "place_id", "left_semi")
-        claims = claims.join(known, "place_id", "left_anti")
-    claims = claims.withColumn("is_new", F.lit(True))
-    return judged.join(claims, ["place_id", "queue_pos"], "left").withColumn(
-        "is_new", F.coalesce(F.col("is_new"), F.lit(False)) & F.col("is_kept")
+    return hits.withColumns(
+        {
+            "is_below_bar": low,
+            "is_wrong_kind": ~low & ~wanted,
+            "is_kept": ~low & wanted & has_key(F.col("place_id")),
+        }
     )
 
 
+def claim_new(
+    judged: DataFrame, known_ids: DataFrame | None = None, max_hits: int | None = None
+) -> DataFrame:
+    """Flag new places, credited to the earliest cell in the queue that kept them.
+
+    ``max_hits`` is a proven bound on the results (cells times the cap); when it
+    is small the ids in play are broadcast, so the ids ever stored are scanned
+    but not shuffled.
+    """
+    kept = F.when(F.col("is_kept"), F.col("queue_pos"))
+    by_place = Window.partitionBy("place_id")
+    claimed = judged.withColumn(
+        "is_new", F.coalesce(F.min(kept).over(by_place) == F.col("queue_pos"), F.lit(False))
+    ).withColumn("is_new", F.col("is_new") & F.col("is_kept"))
+    if known_ids is None:
+        return claimed
+    known = known_ids.select("place_id")
+    if max_hits is not None and max_hits <= BROADCAST_ROWS:
+        in_play = judged.select("place_id")
+        known = known.join(F.broadcast(in_play), "place_id", "left_semi")
+    known = known.distinct().withColumn("_known", F.lit(True))
+    return claimed.join(known, "place_id", "left").withColumn(
+        "is_new", F.col("is_new") & F.col("_known").isNull()
+    ).drop("_known")
+
+
 def split_reason(settings: SweepSettings) -> Column:
     """Why a searched cell is or is not split; the order of checks matters."""
     count, low, new = F.col("result_count"), F.col("n_below_bar"), F.col("n_new")
@@ -339,7 +343,9 @@ def run_sweep(
     """
     spark = cells.sparkSession
     frontier = start_frontier(cells)
-    earlier = [] if log is None else [materialize(with_scope(log), "log")]
+    history = []
+    if log is not None:
+        history = [materialize(cell_history(with_scope(log), settings.scope), "history")]
     stored = [] if known_ids is None else [known_ids.select("place_id")]
     logs: list[DataFrame] = []
     kept: list[DataFrame] = []
@@ -348,11 +354,8 @@ def run_sweep(
     remaining = settings.budget
 
     while True:
-        history = _union(earlier + logs)
         planned, level = materialize_with(
-            plan_level(frontier, history, settings.scope, settings.resume),
-            "level",
-            **plan_measures(),
+            plan_level(frontier, _union(history), settings.resume), "level", **plan_measures()
         )
         if not level["cells"]:
             break
@@ -366,33 +369,32 @@ def run_sweep(
         hits, failed = search(todo, CircleProfile(n_todo, tuple(sorted(level["classes"]))))
         done, n_failed, failed_copies = todo, 0, 0
         if failed is not None:
-            failed = materialize(
-                todo.join(failed, "queue_pos", "left_semi").select("queue_pos", "copies"), "failed"
+            failed, tried = materialize_with(
+                todo.join(failed, "queue_pos", "left_semi").select("queue_pos", "copies"),
+                "failed",
+                n=F.coalesce(F.sum("copies"), F.lit(0)),
+                cells=F.count(F.lit(1)),
             )
-            tried = failed.agg(
-                F.coalesce(F.sum("copies"), F.lit(0)).alias("n"), F.count("*").alias("cells")
-            ).first()
-            n_failed, failed_copies = int(tried.n), int(tried.n - tried.cells)
+            n_failed, failed_copies = tried["n"], tried["n"] - tried["cells"]
             done = todo.join(failed, "queue_pos", "left_anti")
-        judged = materialize(
-            judge_hits(hits, settings, _union(stored), n_todo * settings.max_results), "hits"
-        )
+        judged = materialize(judge_hits(hits, settings), "hits")
+        claimed = claim_new(judged, _union(stored), n_todo * settings.max_results)
         outcomes, counters = materialize_with(
-            cell_outcomes(done.select(*FRONTIER), judged, settings),
+            cell_outcomes(done.select(*FRONTIER), claimed, settings),
             "outcomes",
             **level_counters(),
         )
         counters["cells_failed"] = n_failed
         # Copies of a failed cell are tried, and fail, like the first.
         counters["cells_skipped"] = level["skipped"] - failed_copies
+        found = judged.where("is_kept").select(
+            "place_id", "queue_pos", F.lit(len(levels)).alias("level")
+        )
         levels.append(counters)
+        history.append(with_cell_identity(outcomes).select(*CELL_KEY, "split"))
         logs.append(log_rows(outcomes, settings.scope, as_of))
-        kept.append(
-            judged.where("is_kept").select(
-                "place_id", "queue_pos", F.lit(len(levels) - 1).alias("level"), "is_new"
-            )
-        )
-        stored.append(judged.where("is_new").select("place_id"))
+        kept.append(found)
+        stored.append(found.select("place_id"))
         if out_of_budget:
             stopped_early = f"request budget of {settings.budget} calls is used up"
             break
@@ -400,7 +402,7 @@ def run_sweep(
             remaining -= n_todo
         frontier = next_frontier(planned.where("searched_before"), outcomes)
 
-    empty = "place_id string, queue_pos bigint, level int, is_new boolean"
+    empty = "place_id string, queue_pos bigint, level int"
     return SweepResult(
         log=_union(logs) if logs else spark.createDataFrame([], CELL_LOG),
         observations=_union(kept) if kept else spark.createDataFrame([], empty),
@@ -409,6 +411,14 @@ def run_sweep(
     )
 
 
+def first_sightings(result: SweepResult) -> DataFrame:
+    """Each place of a sweep once, with the level and cell that found it first."""
+    first = F.min(F.struct("level", "queue_pos")).alias("f")
+    return result.observations.groupBy("place_id").agg(first).select(
+        "place_id", "f.level", "f.queue_pos"
+    )
+
+
 def _union(frames: list[DataFrame]) -> DataFrame | None:
     out = None
     for frame in frames:

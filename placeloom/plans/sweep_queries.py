@@ -70,7 +70,8 @@ _JUDGED = judged(hits(CELLS, POPULARITY_ORDER), 25)
 def _level_outcomes(spark, sf_dir, settings=_BAR):
     cells = sweep.start_frontier(box_cells(spark, sf_dir))
     found, _ = sweep.place_table_search(view(spark, sf_dir, "places_v"), settings)(cells)
-    return sweep.cell_outcomes(cells, sweep.judge_hits(found, settings), settings)
+    judged_rows = sweep.claim_new(sweep.judge_hits(found, settings))
+    return sweep.cell_outcomes(cells, judged_rows, settings)
 
 
 @query(
@@ -114,9 +115,8 @@ def first_claim_new(spark, sf_dir):
         .distinct()
     )
     found = _search(spark, sf_dir, DISTANCE)
-    return sweep.judge_hits(found, settings, known).where("is_new").select(
-        "queue_pos", "place_id"
-    )
+    claimed = sweep.claim_new(sweep.judge_hits(found, settings), known)
+    return claimed.where("is_new").select("queue_pos", "place_id")
 
 
 # The log of an interrupted run: every third cell was searched, and the full
@@ -165,7 +165,7 @@ def resume_frontier(spark, sf_dir):
     """What a resumed run still has to do: unsearched cells, and the children of
     cells that were split before the interruption."""
     frontier, log = _interrupted(spark, sf_dir)
-    planned = sweep.plan_level(frontier, log, "restaurant")
+    planned = sweep.plan_level(frontier, sweep.cell_history(log, "restaurant"))
     todo = planned.where("not searched_before").withColumn("step", F.lit("search"))
     before = planned.where("split_before").select(*sweep.FRONTIER)
     again = split_children(before).withColumn("step", F.lit("child"))
@@ -182,7 +182,8 @@ def resume_frontier(spark, sf_dir):
 def budget_frontier(spark, sf_dir):
     """The cells a run with 20 calls left may still search."""
     frontier, log = _interrupted(spark, sf_dir)
-    todo = sweep.plan_level(frontier, log, "restaurant").where("not searched_before")
+    planned = sweep.plan_level(frontier, sweep.cell_history(log, "restaurant"))
+    todo = planned.where("not searched_before")
     chosen = first_rows(todo.select("queue_pos", "lat", "lng"), [F.col("queue_pos")], 20)
     return chosen.withColumns({"lat": F.round("lat", 6), "lng": F.round("lng", 6)})
 
@@ -254,7 +255,7 @@ def adaptive_cover(spark, sf_dir):
     result = sweep.run_sweep(
         box_cells(spark, sf_dir), sweep.place_table_search(places, settings), settings
     )
-    return result.observations.where("is_new").select("place_id", "level", "queue_pos")
+    return sweep.first_sightings(result)
 
 
 @query(
@@ -268,9 +269,7 @@ def landed_sweep_step(spark, sf_dir):
     """One step over landed results in which some cells failed: those are not
     logged and not split."""
     settings = sweep.SweepSettings()
-    cells = sweep.plan_level(
-        sweep.start_frontier(box_cells(spark, sf_dir)), None, settings.scope
-    )
+    cells = sweep.plan_level(sweep.start_frontier(box_cells(spark, sf_dir)), None)
     found = _search(spark, sf_dir, DISTANCE)
     failed = cells.where("queue_pos % 7 = 3").select(*CELL_KEY, F.lit("failed").alias("status"))
     landed = cells.select("queue_pos", *CELL_KEY).join(found, "queue_pos", "left").select(
@@ -282,7 +281,7 @@ def landed_sweep_step(spark, sf_dir):
     )
     answers, not_answered = sweep.landed_results_search(landed)(cells)
     done = cells.join(not_answered, "queue_pos", "left_anti")
-    judged_rows = sweep.judge_hits(answers, settings)
+    judged_rows = sweep.claim_new(sweep.judge_hits(answers, settings))
     return sweep.cell_outcomes(done.select(*sweep.FRONTIER), judged_rows, settings).select(
         "queue_pos", "result_count", "n_new", "split"
     )
