@@ -12,11 +12,12 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from placeloom import fixed
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fold_unicode(text: pd.Series) -> pd.Series:
     def fold(value):
         if value is None:
@@ -102,7 +103,7 @@ def token_score(target: Column, candidate: Column) -> Column:
     return F.when(both, best).otherwise(F.lit(0.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     known: dict[tuple[str, str], float] = {}
 

@@ -189,7 +189,8 @@ def fit_areas(areas: DataFrame, passes: int = fixed.FIT_PASSES) -> DataFrame:
     target = F.greatest(F.lit(1), F.floor(F.col("budget") * F.lit(fixed.BUDGET_GRID_SHARE)))
     pending = start_radius(areas)
     columns = pending.columns
-    over = F.coalesce(F.col("n_cells") > target, F.lit(False))
+    # greatest() skips NULLs, so an area without a budget needs its own test.
+    over = F.col("budget").isNotNull() & (F.col("n_cells") > target)
     done = []
     for attempt in range(passes + 1):
         counted, seen = materialize_with(

@@ -75,7 +75,9 @@ def class_set(radius: Column) -> Column:
 
 
 def search_radius(radius: Column, max_radius_m: float | None) -> Column:
-    return radius if max_radius_m is None else F.least(radius, F.lit(max_radius_m))
+    if max_radius_m is None:
+        return radius
+    return F.when(radius > max_radius_m, F.lit(max_radius_m)).otherwise(radius)
 
 
 def profile_circles(circles: DataFrame, radius: Column) -> CircleProfile:

@@ -8,33 +8,43 @@ from pyspark.sql import functions as F
 from placeloom import fixed
 from placeloom.schemas import place_type
 
-_COMPONENTS = "array<struct<longText:string,shortText:string,types:array<string>>>"
-
-
-def _get(doc: Column, path: str, kind: str) -> Column:
-    return F.try_variant_get(doc, path, kind)
-
-
-def _text(doc: Column, field: str) -> Column:
+# The payload fields in use.  Labels are VARIANT: an object with a text, or a string.
+PAYLOAD = """
+  id string, displayName variant, formattedAddress string, shortFormattedAddress string,
+  addressComponents array<struct<longText: string, shortText: string, types: array<string>>>,
+  location struct<latitude: double, longitude: double>, googleMapsUri string,
+  websiteUri string, nationalPhoneNumber string, internationalPhoneNumber string,
+  rating double, userRatingCount bigint, priceLevel string, businessStatus string,
+  primaryType string, primaryTypeDisplayName variant, types array<string>,
+  regularOpeningHours struct<openNow: boolean, weekdayDescriptions: array<string>>,
+  editorialSummary variant, takeout boolean, delivery boolean, dineIn boolean,
+  reservable boolean, servesBreakfast boolean, servesLunch boolean, servesDinner boolean,
+  servesBeer boolean, servesWine boolean, servesVegetarianFood boolean,
+  outdoorSeating boolean, goodForChildren boolean,
+  accessibilityOptions struct<wheelchairAccessibleEntrance: boolean>,
+  utcOffsetMinutes int, plusCode struct<globalCode: string>
+"""
+
+
+def _text(label: Column) -> Column:
     """A ``{"text": ...}`` object's text, or the string itself."""
-    whole = _get(doc, f"$.{field}", "variant")
-    is_string = F.schema_of_variant(whole) == "STRING"
-    return F.coalesce(
-        _get(doc, f"$.{field}.text", "string"),
-        F.when(is_string, _get(doc, f"$.{field}", "string")),
-    )
+    plain = F.when(F.schema_of_variant(label) == "STRING", F.try_variant_get(label, "$", "string"))
+    return F.coalesce(F.try_variant_get(label, "$.text", "string"), plain)
 
 
-def _first_text(texts: Column) -> Column:
-    """First non-empty value; the last one when all are empty."""
-    filled = F.filter(texts, lambda t: t.isNotNull() & (t != ""))
-    return F.coalesce(F.get(filled, F.lit(0)), F.try_element_at(texts, F.lit(-1)))
+def _component(components: Column, kinds: list[str], field: str) -> Column:
+    """First non-empty text of a component kind; the last one when all are empty."""
 
+    def of_kind(c: Column) -> Column:
+        matches = F.array_contains(c["types"], kinds[0])
+        for kind in kinds[1:]:
+            matches = matches | F.array_contains(c["types"], kind)
+        return matches
 
-def _component(components: Column, kinds: list[str], field: str) -> Column:
-    wanted = F.array(*[F.lit(k) for k in kinds])
-    matching = F.filter(components, lambda c: F.arrays_overlap(c["types"], wanted))
-    return _first_text(F.transform(matching, lambda c: c[field]))
+    filled = F.filter(components, lambda c: (c[field] != "") & of_kind(c))
+    # Only looked at when nothing is filled in.
+    any_text = F.filter(components, of_kind)
+    return F.coalesce(F.get(filled, F.lit(0))[field], F.try_element_at(any_text, F.lit(-1))[field])
 
 
 def _lookup(values: dict, key: Column) -> Column:
@@ -45,54 +55,53 @@ def _lookup(values: dict, key: Column) -> Column:
 def normalize_payload(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """Replace a JSON payload column by the place columns plus ``raw_json``.
 
-    Missing fields become NULL; a false flag stays distinct from a missing one.
-    Other columns are kept.
+    The text is parsed once, straight into typed fields.  Missing or unusable
+    fields become NULL; a false flag stays distinct from a missing one.  Other
+    columns are kept.
     """
     doc = F.col("_doc")
-    components = F.col("_components")
-    price = _get(doc, "$.priceLevel", "string")
-    lines = _get(doc, "$.regularOpeningHours.weekdayDescriptions", "array<string>")
-    types = F.array_join(_get(doc, "$.types", "array<string>"), ",")
+    components, hours = doc["addressComponents"], doc["regularOpeningHours"]
+    lines = hours["weekdayDescriptions"]
+    price = doc["priceLevel"]
     expressions = {
-        "place_id": _get(doc, "$.id", "string"),
-        "name": _text(doc, "displayName"),
-        "formatted_address": _get(doc, "$.formattedAddress", "string"),
-        "short_address": _get(doc, "$.shortFormattedAddress", "string"),
+        "place_id": doc["id"],
+        "name": _text(doc["displayName"]),
+        "formatted_address": doc["formattedAddress"],
+        "short_address": doc["shortFormattedAddress"],
         "country_code": _component(components, ["country"], "shortText"),
-        "latitude": _get(doc, "$.location.latitude", "double"),
-        "longitude": _get(doc, "$.location.longitude", "double"),
-        "google_maps_url": _get(doc, "$.googleMapsUri", "string"),
-        "website": _get(doc, "$.websiteUri", "string"),
-        "phone": _get(doc, "$.nationalPhoneNumber", "string"),
-        "phone_international": _get(doc, "$.internationalPhoneNumber", "string"),
-        "rating": _get(doc, "$.rating", "double"),
-        "user_rating_count": _get(doc, "$.userRatingCount", "bigint"),
+        "latitude": doc["location"]["latitude"],
+        "longitude": doc["location"]["longitude"],
+        "google_maps_url": doc["googleMapsUri"],
+        "website": doc["websiteUri"],
+        "phone": doc["nationalPhoneNumber"],
+        "phone_international": doc["internationalPhoneNumber"],
+        "rating": doc["rating"],
+        "user_rating_count": doc["userRatingCount"],
         "price_level": _lookup(fixed.PRICE_LEVELS, price),
         "price_label": _lookup(fixed.PRICE_LABELS, price),
-        "business_status": _get(doc, "$.businessStatus", "string"),
-        "primary_type": _get(doc, "$.primaryType", "string"),
-        "primary_type_label": _text(doc, "primaryTypeDisplayName"),
-        "types": F.nullif(types, F.lit("")),
+        "business_status": doc["businessStatus"],
+        "primary_type": doc["primaryType"],
+        "primary_type_label": _text(doc["primaryTypeDisplayName"]),
+        "types": F.nullif(F.array_join(doc["types"], ","), F.lit("")),
         "opening_hours": F.when(F.size(lines) > 0, F.array_join(lines, "\n")),
-        "open_now": _get(doc, "$.regularOpeningHours.openNow", "boolean"),
-        "editorial_summary": _text(doc, "editorialSummary"),
-        "wheelchair_accessible_entrance": _get(
-            doc, "$.accessibilityOptions.wheelchairAccessibleEntrance", "boolean"
-        ),
-        "utc_offset_minutes": _get(doc, "$.utcOffsetMinutes", "int"),
-        "plus_code": _get(doc, "$.plusCode.globalCode", "string"),
+        "open_now": hours["openNow"],
+        "editorial_summary": _text(doc["editorialSummary"]),
+        "wheelchair_accessible_entrance": doc["accessibilityOptions"][
+            "wheelchairAccessibleEntrance"
+        ],
+        "utc_offset_minutes": doc["utcOffsetMinutes"],
+        "plus_code": doc["plusCode"]["globalCode"],
     }
     for column, kinds in fixed.ADDRESS_KINDS.items():
         expressions[column] = _component(components, kinds, "longText")
     for column, field in fixed.SERVICE_FLAG_FIELDS.items():
-        expressions[column] = _get(doc, f"$.{field}", "boolean")
+        expressions[column] = doc[field]
 
     kept = [c for c in payloads.columns if c != payload]
-    parsed = payloads.withColumn("_doc", F.try_parse_json(F.col(payload)))
-    parsed = parsed.withColumn("_components", _get(doc, "$.addressComponents", _COMPONENTS))
+    parsed = payloads.withColumn("_doc", F.from_json(F.col(payload), PAYLOAD))
     return parsed.select(
         *kept,
-        *[expressions[c].cast(place_type(c)).alias(c) for c in fixed.PLACE_COLUMNS],
+        *[expressions[c].alias(c) for c in fixed.PLACE_COLUMNS],
         F.col(payload).alias("raw_json"),
     )
 

@@ -23,7 +23,7 @@ from placeloom.operators.numbering import first_rows
 from placeloom.operators.search import capped_search, rank_for
 from placeloom.operators.skew import BROADCAST_ROWS
 from placeloom.schemas import CELL_LOG
-from placeloom.session import materialize, materialize_with
+from placeloom.session import materialize, materialize_with, shuffle_width
 
 FRONTIER = ["queue_pos", "lat", "lng", "radius_m", "depth", "copies"]
 
@@ -283,13 +283,22 @@ SearchFn = Callable[[DataFrame, CircleProfile | None], tuple[DataFrame, DataFram
 
 
 def place_table_search(places: DataFrame, settings: SweepSettings) -> SearchFn:
-    """Search a place table; nothing fails."""
+    """Search a place table; nothing fails.
+
+    Every level scans the places, so the few columns a search needs are written
+    once, evenly spread by place.
+    """
     types = list(settings.included_types) if settings.filter_types else None
+    columns = ["place_id", "latitude", "longitude", "user_rating_count", "primary_type"]
+    if types and "types" in places.columns:
+        columns.append("types")
+    width = shuffle_width(places.sparkSession)
+    narrow = materialize(places.select(*columns).repartition(width, "place_id"), "points")
 
     def search(cells: DataFrame, profile: CircleProfile | None = None):
         hits = capped_search(
             cells,
-            places,
+            narrow,
             ["queue_pos"],
             rank=rank_for(settings.min_reviews, settings.rank),
             max_results=settings.max_results,

@@ -10,7 +10,7 @@ from placeloom.functions.geo import CELL_KEY
 from placeloom.operators import report, sweep
 from placeloom.operators.cover import split_children
 from placeloom.operators.numbering import first_rows
-from placeloom.operators.search import DISTANCE, POPULARITY, capped_search
+from placeloom.operators.search import DISTANCE, POPULARITY, capped_search, rank_for
 from placeloom.plans.check_sql import (
     BOX,
     CELLS,
@@ -69,7 +69,7 @@ _JUDGED = judged(hits(CELLS, POPULARITY_ORDER), 25)
 
 def _level_outcomes(spark, sf_dir, settings=_BAR):
     cells = sweep.start_frontier(box_cells(spark, sf_dir))
-    found, _ = sweep.place_table_search(view(spark, sf_dir, "places_v"), settings)(cells)
+    found = _search(spark, sf_dir, rank_for(settings.min_reviews))
     judged_rows = sweep.claim_new(sweep.judge_hits(found, settings))
     return sweep.cell_outcomes(cells, judged_rows, settings)
 
