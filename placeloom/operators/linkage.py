@@ -28,7 +28,7 @@ from placeloom.functions.text import (
 )
 from placeloom.operators.filters import is_closed
 from placeloom.operators.grid import GRID_KEY, bucket_circles, bucket_points, class_of
-from placeloom.operators.skew import BROADCAST_ROWS, SIDE_ROWS, balanced_join
+from placeloom.operators.skew import BROADCAST_ROWS, SIDE_ROWS, balanced_join, is_small
 from placeloom.session import materialize
 
 LINKS = "target_id", "evidence", "record_pos", "distance_m"
@@ -76,24 +76,45 @@ def _drop_vetoed(pairs: DataFrame) -> DataFrame:
     return clear.unionByName(vouched.drop("_score")).drop("_differ")
 
 
-def _first_copies(records: DataFrame, columns: list[str]) -> DataFrame:
-    """Records that agree on ``columns`` keep the first in record order."""
-    return records.groupBy(*columns).agg(F.min("record_pos").alias("record_pos"))
+def _reduce(records: DataFrame, targets: DataFrame, keys: list[str], small: bool) -> DataFrame:
+    """Only records that share a key with a target, when those are few."""
+    if not small:
+        return records
+    return records.join(F.broadcast(targets.select(*keys).distinct()), keys, "left_semi")
 
 
-def _meet(targets, records, limit_m, extra_keys, broadcast_rows, side_rows) -> DataFrame:
-    """Pairs with known distance within ``limit_m`` and equal ``extra_keys``."""
+def _meet(
+    targets: DataFrame,
+    records: DataFrame,
+    limit_m: float,
+    extra_keys: list[str],
+    judged: list[str],
+    broadcast_rows: int,
+    side_rows: int,
+) -> DataFrame:
+    """Pairs with known distance within ``limit_m`` and equal ``extra_keys``.
+
+    Records that agree on position, keys and the ``judged`` columns are copies:
+    the first in record order stands for all.
+    """
     radius = F.lit(float(limit_m))
+    keys = [*GRID_KEY, *extra_keys]
     left = bucket_circles(targets, "t_lat", "t_lng", radius)
     right = bucket_points(records, "r_lat", "r_lng", [class_of(limit_m)])
+    small = is_small(left, broadcast_rows)
+    right = _reduce(right, left, keys, small)
+    right = right.groupBy(*keys, "r_lat", "r_lng", *judged).agg(
+        F.min("record_pos").alias("record_pos")
+    )
     pairs = balanced_join(
         left,
         right,
-        [*GRID_KEY, *extra_keys],
+        keys,
         ["target_no"],
         ["record_pos"],
         broadcast_rows,
         side_rows,
+        left_rows=0 if small else broadcast_rows + 1,
     )
     distance = haversine_m(F.col("t_lat"), F.col("t_lng"), F.col("r_lat"), F.col("r_lng"))
     return pairs.withColumn("distance_m", distance).where(F.col("distance_m") <= radius)
@@ -119,23 +140,27 @@ def _key_stage(
     targets = targets.withColumn("key", F.col(f"t_{key}")).where("key is not null")
     records = records.withColumn("key", F.col(f"r_{key}")).where("key is not null")
     judged = ["r_phone", "r_norm"] if veto else []
+    small = is_small(targets, broadcast_rows)
 
     unplaced = F.when(F.col("r_lat").isNull(), F.col("record_pos"))
-    groups = records.groupBy("key", *judged).agg(
+    groups = _reduce(records, targets, ["key"], small).groupBy("key", *judged).agg(
         F.min("record_pos").alias("first_any"), F.min(unplaced).alias("first_unplaced")
     )
     met = balanced_join(
-        targets, groups, ["key"], ["target_no"], ["first_any"], broadcast_rows, side_rows
+        targets,
+        groups,
+        ["key"],
+        ["target_no"],
+        ["first_any"],
+        broadcast_rows,
+        side_rows,
+        left_rows=0 if small else broadcast_rows + 1,
     )
     first = F.when(F.col("t_lat").isNull(), F.col("first_any")).otherwise(
         F.col("first_unplaced")
     )
     met = met.withColumn("record_pos", first).where("record_pos is not null")
-
-    placed = _first_copies(
-        records.where("r_lat is not null"), ["key", "r_lat", "r_lng", *judged]
-    )
-    near = _meet(targets, placed, limit_m, ("key",), broadcast_rows, side_rows)
+    near = _meet(targets, records, limit_m, ["key"], judged, broadcast_rows, side_rows)
 
     columns = ["target_no", "record_pos", "distance_m"]
     if veto:
@@ -159,11 +184,8 @@ def _name_stage(
     side_rows: int = SIDE_ROWS,
 ) -> DataFrame:
     """Best-scoring name within reach; distance does not break ties, order does."""
-    placed = _first_copies(
-        records.where("r_lat is not null"), ["r_lat", "r_lng", "r_phone", "r_norm"]
-    )
     pairs = _meet(
-        targets.where("t_lat is not null"), placed, fixed.NAME_MAX_M, (), broadcast_rows, side_rows
+        targets, records, fixed.NAME_MAX_M, [], ["r_phone", "r_norm"], broadcast_rows, side_rows
     )
     # One score serves both the match and the veto.
     scored = _with_score(pairs, fixed.NAME_MIN_SCORE, "score")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from placeloom.session import materialize_with
+
 # Narrow rows only (keys and numbers): about 20 MB at the limit.
 BROADCAST_ROWS = 200_000
 # A task of the balanced join meets at most about SIDE_ROWS x SIDE_ROWS pairs.
@@ -20,11 +22,6 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a size check, else forbid an estimated broadcast."""
-    return F.broadcast(df) if is_small(df, max_rows) else df.hint("merge")
-
-
 def balanced_join(
     left: DataFrame,
     right: DataFrame,
@@ -37,42 +34,54 @@ def balanced_join(
 ) -> DataFrame:
     """Inner equi join whose hot keys are cut into blocks.
 
-    When ``left`` is small (counted here, or bounded by the caller's count
-    ``left_rows``) it is broadcast and ``right`` is never shuffled.  Otherwise the rows per key are counted on
-    both sides with map-side combine; a key with too many rows on one side, or
-    whose two sides multiply to more than ``side_rows`` squared, is cut into
-    ``l x r`` blocks, each side salted by its own row identity and repeated for
-    the other side's salts, so every pair still meets exactly once.
+    A side that is small (counted here, or for ``left`` bounded by the caller's
+    count ``left_rows``) is broadcast and the other is never shuffled.
+    Otherwise the rows per key are counted on both sides with map-side combine;
+    a key with too many rows on one side, or whose two sides multiply to more
+    than ``side_rows`` squared, is cut into ``l x r`` blocks, each side salted
+    by its own row identity and repeated for the other side's salts, so every
+    pair still meets exactly once.
     """
     keys = list(keys)
     small = is_small(left, broadcast_rows) if left_rows is None else left_rows <= broadcast_rows
     if small:
         return right.join(F.broadcast(left), keys)
+    if is_small(right, broadcast_rows):
+        return left.join(F.broadcast(right), keys)
 
-    counts = left.groupBy(keys).agg(F.count("*").alias("_nl")).join(
-        right.groupBy(keys).agg(F.count("*").alias("_nr")), keys
-    )
-    hot = counts.where(
-        (F.col("_nl").cast("double") * F.col("_nr") > float(side_rows) * side_rows)
-        | (F.greatest("_nl", "_nr") > KEY_ROWS)
-    ).select(
-        *keys,
-        F.ceil(F.col("_nl") / side_rows).cast("int").alias("_sl"),
-        F.ceil(F.col("_nr") / side_rows).cast("int").alias("_sr"),
+    hot, found = materialize_with(
+        hot_keys(left, right, keys, side_rows), "hot", keys=F.count(F.lit(1))
     )
-    hot = if_small(hot, broadcast_rows)
+    if not found["keys"]:
+        return left.hint("merge").join(right, keys)
+    # The hot keys are at most the rows of a side over the smallest hot group.
+    hot = F.broadcast(hot) if found["keys"] <= BROADCAST_ROWS else hot.hint("merge")
 
-    def blocks(df: DataFrame, mine: str, other: str, identity: Sequence[str]) -> DataFrame:
+    def blocks(df: DataFrame, identity: Sequence[str], mine: str, other: str) -> DataFrame:
         # Keys that are not hot keep one block, 0 x 0.
-        salted = df.join(hot, keys, "left")
-        own = F.pmod(F.xxhash64(*identity), F.coalesce(F.col(mine), F.lit(1)))
-        copies = F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1)
-        return salted.withColumn(f"_own{mine}", own.cast("int")).withColumn(
-            f"_rep{other}", F.explode(copies)
-        ).drop("_sl", "_sr")
+        own = F.pmod(F.xxhash64(*identity), F.coalesce(F.col(f"{mine}_blocks"), F.lit(1)))
+        copies = F.sequence(F.lit(0), F.coalesce(F.col(f"{other}_blocks"), F.lit(1)) - 1)
+        return df.join(hot, keys, "left").select(
+            *df.columns,
+            own.cast("int").alias(f"{mine}_block"),
+            F.explode(copies).alias(f"{other}_block"),
+        )
 
-    l = blocks(left, "_sl", "_sr", left_id)
-    r = blocks(right, "_sr", "_sl", right_id)
-    l = l.withColumnsRenamed({"_own_sl": "_bl", "_rep_sr": "_br"})
-    r = r.withColumnsRenamed({"_own_sr": "_br", "_rep_sl": "_bl"})
-    return l.hint("merge").join(r, [*keys, "_bl", "_br"]).drop("_bl", "_br")
+    cut = [*keys, "_l_block", "_r_block"]
+    left_blocks = blocks(left, left_id, "_l", "_r")
+    right_blocks = blocks(right, right_id, "_r", "_l")
+    return left_blocks.hint("merge").join(right_blocks, cut).drop("_l_block", "_r_block")
+
+
+def hot_keys(left: DataFrame, right: DataFrame, keys: list[str], side_rows: int) -> DataFrame:
+    """Keys too heavy for one task, with the number of blocks for each side."""
+    n_left, n_right = F.col("_n_left"), F.col("_n_right")
+    counts = left.groupBy(keys).agg(F.count("*").alias("_n_left")).join(
+        right.groupBy(keys).agg(F.count("*").alias("_n_right")), keys
+    )
+    too_many_pairs = n_left.cast("double") * n_right > float(side_rows) * side_rows
+    return counts.where(too_many_pairs | (F.greatest(n_left, n_right) > KEY_ROWS)).select(
+        *keys,
+        F.ceil(n_left / side_rows).cast("int").alias("_l_blocks"),
+        F.ceil(n_right / side_rows).cast("int").alias("_r_blocks"),
+    )

@@ -174,7 +174,11 @@ def claim_new(
     but not shuffled.
     """
     kept = F.when(F.col("is_kept"), F.col("queue_pos"))
-    by_place = Window.partitionBy("place_id")
+    # Results that are not kept (no id, wrong kind) claim nothing; they are
+    # spread by cell instead of meeting under one missing id.
+    by_place = Window.partitionBy(
+        F.when(F.col("is_kept"), F.col("place_id")).otherwise(F.col("queue_pos").cast("string"))
+    )
     claimed = judged.withColumn(
         "is_new", F.coalesce(F.min(kept).over(by_place) == F.col("queue_pos"), F.lit(False))
     ).withColumn("is_new", F.col("is_new") & F.col("is_kept"))

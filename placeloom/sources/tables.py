@@ -13,7 +13,7 @@ from placeloom.operators import fold
 from placeloom.operators.outbound import upsert_target
 from placeloom.operators.sweep import latest_log, with_scope
 from placeloom.schemas import CELL_LOG
-from placeloom.session import materialize_with
+from placeloom.session import materialize, materialize_with
 
 _COMMIT = "version int, bucket int"
 
@@ -96,12 +96,13 @@ class PlaceStore:
 
     def upsert(self, observations: DataFrame) -> None:
         """Fold observations in.  Replaying the same ones changes nothing."""
-        lifted = fold.lift(observations)
-        numbers = self.table.touched(lifted)
+        # Read the batch once and reduce it to one row per place before it
+        # meets the snapshot.
+        batch = materialize(fold.fold_state(fold.lift(observations)), "batch")
+        numbers = self.table.touched(batch)
         if not numbers:
             return
-        current = self.table.read(numbers)
-        merged = current.unionByName(lifted, allowMissingColumns=True)
+        merged = self.table.read(numbers).unionByName(batch, allowMissingColumns=True)
         self.table.replace(fold.fold_state(merged), numbers)
 
     def mark_synced(self, results: DataFrame, synced_at: datetime) -> None:
