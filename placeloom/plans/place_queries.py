@@ -162,8 +162,7 @@ _SHOWN = ["place_id", "name", "city", "latitude", "primary_type", "types", "phon
 @query(
     "tier_projection",
     "select " + ", ".join(
-        c if c in _STANDARD else f"null::{'boolean' if c == 'takeout' else 'varchar'} as {c}"
-        for c in _SHOWN
+        c if c in _STANDARD else f"null::{place_type(c).simpleString()} as {c}" for c in _SHOWN
     ) + f" from {_PLACES}",
 )
 def tier_projection(spark, sf_dir):

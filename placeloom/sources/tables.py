@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +12,7 @@ from placeloom.operators import fold
 from placeloom.operators.outbound import upsert_target
 from placeloom.operators.sweep import latest_log, with_scope
 from placeloom.schemas import CELL_LOG
-from placeloom.session import materialize, materialize_with
+from placeloom.session import materialize, materialize_with, path_exists
 
 _COMMIT = "version int, bucket int"
 
@@ -41,10 +40,9 @@ class BucketTable:
 
     def _current(self) -> dict[int, int]:
         """Committed version per bucket; at most one entry per bucket."""
-        try:
-            commits = self.spark.read.schema(_COMMIT).parquet(f"{self.path}/commits")
-        except AnalysisException:
+        if not path_exists(self.spark, f"{self.path}/commits"):
             return {}
+        commits = self.spark.read.schema(_COMMIT).parquet(f"{self.path}/commits")
         newest = commits.groupBy("bucket").agg(F.max("version").alias("version"))
         return {r.bucket: r.version for r in newest.collect()}
 
@@ -156,11 +154,11 @@ class CellLog:
         self.spark, self.path = spark, path
 
     def _version(self) -> int:
-        try:
-            row = self.spark.read.schema("version int").parquet(f"{self.path}/versions")
-            return row.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
-        except AnalysisException:
+        path = f"{self.path}/versions"
+        if not path_exists(self.spark, path):
             return 0
+        rows = self.spark.read.schema("version int").parquet(path)
+        return rows.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
 
     def _data(self) -> str:
         return f"{self.path}/log-{self._version()}"
@@ -170,10 +168,10 @@ class CellLog:
         with_scope(rows).select(*names).write.mode("append").parquet(self._data())
 
     def rows(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(CELL_LOG).parquet(self._data())
-        except AnalysisException:
+        path = self._data()
+        if not path_exists(self.spark, path):
             return self.spark.createDataFrame([], CELL_LOG)
+        return self.spark.read.schema(CELL_LOG).parquet(path)
 
     def latest(self) -> DataFrame:
         return latest_log(self.rows())
