@@ -113,8 +113,8 @@ def agree(result, simulated):
 
 CIRCLES = [(40.0, 49.0, 400.0, 0), (40.003, 49.0, 400.0, 0), (40.0, 49.0, 400.0, 0)]
 SETTINGS = {
-    "census": sweep.SweepSettings(min_radius_m=30.0, max_depth=4, restaurants_only=False),
-    "bar": sweep.SweepSettings(min_reviews=25, min_radius_m=10.0),
+    "census": sweep.SweepSettings(min_radius_m=30.0, max_depth=3, restaurants_only=False),
+    "bar": sweep.SweepSettings(min_reviews=25, min_radius_m=70.0),
     "only if new": sweep.SweepSettings(min_radius_m=30.0, split_only_if_new=True, max_depth=4),
     "asked for": sweep.SweepSettings(included_types=("hotel", "bar"), max_depth=2),
     "no resume": sweep.SweepSettings(resume=False, max_depth=1),
@@ -136,7 +136,7 @@ def test_dense_cluster_is_found_completely_whatever_the_parallelism(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     try:
         spark.conf.set("spark.sql.shuffle.partitions", "3")
-        result = run(spark, rows, [(40.0, 49.0, 400.0, 0)], settings)
+        result = run(spark, rows, [(40.0, 49.0, 150.0, 0)], settings)
         assert {r.place_id for r in result.observations.collect()} == {p[0] for p in rows}
         assert result.totals()["cells_split"] > 0
     finally:
