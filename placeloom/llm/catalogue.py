@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from placeloom.llm import queries_rules  # noqa: F401  (importing registers the queries)
+from placeloom.llm import (  # noqa: F401  (importing registers the queries)
+    queries_leaks,
+    queries_rules,
+)
 from placeloom.llm.registry import CHECKS, QUERIES, Query
 
 
