@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from placeloom.llm import (  # noqa: F401  (importing registers the queries)
     queries_leaks,
+    queries_packing,
     queries_rules,
+    queries_urls,
 )
 from placeloom.llm.registry import CHECKS, QUERIES, Query
 
