@@ -20,30 +20,32 @@ from pyspark.sql import functions as F
 # A small labelled table, for use where no own one is given: hosts and paths of the
 # kind that URL filters for text corpora reject, and ordinary ones.
 _REJECTED = """
-casino-royal.example.com/en/bonus lucky-casino.example.net/slots www.online-casino.example.org/play
-casino-win-big.example.com/jackpot poker-room.example.net/en/12 m.slots-jackpot.example.com/free
-free-bets-today.example.org/odds best-bets.example.net/tips www.bets-online.example.com/en/7
-sports-betting.example.org/live free-spins.example.net/casino win-cash-now.example.com/en/3
-cheap-pills-shop.example.com/buy www.pills-online.example.net/order cheap-meds.example.org/viagra
-m.discount-pills.example.com/en/44 cheap-loans.example.net/apply payday-cash.example.org/cheap
-adult-videos.example.com/xxx www.adult-chat.example.net/cams x-adult.example.org/en/18
-m.xxx-tube.example.com/adult hot-adult.example.net/live sex-cams.example.org/free
-spam-links.example.com/farm link-farm.example.net/seo www.spam-blog.example.org/en/9
-content-farm.example.com/spam m.spam-offers.example.net/click free-prizes.example.org/winner
-win-prizes.example.com/claim cheap-replica.example.net/watches
+casino-royal.example.com/en/1840 lucky-casino.example.net/slots/ www.online-casino.example.org/es/720
+casino-win-big.example.com/de/311.html poker-room.example.net/en/12 m.slots-jackpot.example.com/fr/408/
+free-bets-today.example.org/odds best-bets.example.net/fr/66 www.bets-online.example.com/en/7305
+sports-betting.example.org/de/52/ free-spins.example.net/casino win-cash-now.example.com/en/3.html
+cheap-pills-shop.example.com/es/94 www.pills-online.example.net/order cheap-meds.example.org/en/2077/
+m.discount-pills.example.com/de/44.html cheap-loans.example.net/fr/618 payday-cash.example.org/en/930
+adult-videos.example.com/es/15/ www.adult-chat.example.net/de/1207 x-adult.example.org/en/18.html
+blog.adult-x-tube.example.com/fr/563 hot-adult.example.net/live/ sex-cams.example.org/es/4410
+spam-links.example.com/en/29 link-farm.example.net/de/871.html www.spam-blog.example.org/fr/9/
+content-farm.example.com/es/3056 m.spam-offers.example.net/en/147 free-prizes.example.org/winner
+ads-track.example.com/fr/250/ m.ads-click.example.net/en/81 www.track-ads.example.org/de/6402.html
+win-prizes.example.com/es/77 cheap-replica.example.net/en/5113/ adserver-track.example.org/fr/39
 """
 _ACCEPTED = """
-www.library.example.org/en/catalogue blog.gardening.example.com/en/roses news.harbour.example.net/2021/story
-therapy.example.org/en/articles www.theatre.example.com/fr/programme m.weather.example.net/de/heute
-museum.example.org/es/coleccion blog.thornbury.example.com/en/57.html www.reading.example.net/en/books
-station.example.com/de/fahrplan kitchen.example.org/fr/recettes blog.another.example.net/es/viajes
-www.nation.example.org/en/history m.tidal.example.com/en/tables notes.hering.example.net/de/12
-heritage.example.com/en/places blog.theses.example.org/en/214 www.thinking.example.net/fr/825
-orient.example.com/es/750 erosion.example.org/en/science www.enterprise.example.net/en/77/
-blog.estuary.example.com/en/birds the-ordinary.example.org/en/3 m.stories.example.net/de/498
-www.teaching.example.com/en/lessons ting.example.org/fr/10 blog.andover.example.net/en/parish
-school.example.com/es/clases www.orchard.example.org/en/apples m.bridges.example.net/en/101/
-poetry.example.com/fr/poemes www.hospital.example.org/en/visits
+www.library.example.org/en/1840 blog.gardening.example.com/roses/ news.harbour.example.net/es/720
+therapy.example.org/de/311.html www.theatre.example.com/en/12 m.weather.example.net/fr/408/
+museum.example.org/history blog.thornbury.example.com/fr/66 www.reading.example.net/en/7305
+station.example.com/de/52/ kitchen.example.org/recipes blog.another.example.net/en/3.html
+www.nation.example.org/es/94 m.tidal.example.com/tables notes.hering.example.net/en/2077/
+heritage.example.com/de/44.html blog.theses.example.org/fr/618 www.thinking.example.net/en/930
+orient.example.com/es/15/ erosion.example.org/de/1207 www.enterprise.example.net/en/18.html
+blog.estuary.example.com/fr/563 the-ordinary.example.org/birds/ m.stories.example.net/es/4410
+www.teaching.example.com/en/29 ting.example.org/de/871.html blog.andover.example.net/fr/9/
+school.example.com/es/3056 www.orchard.example.org/en/147 m.bridges.example.net/apples
+poetry.example.com/fr/250/ www.hospital.example.org/en/81 health.example.net/de/6402.html
+island.example.com/es/77 forests.example.net/en/5113/ m.rivers.example.org/fr/39
 """
 
 
@@ -93,9 +95,9 @@ def _grams(value: Column, sizes: tuple[int, ...], mark: str) -> Column:
 def features(urls: DataFrame, host: Column, path: Column, model: UrlModel) -> DataFrame:
     """``urls`` with a vector column ``_url_features``.
 
-    The n-grams of a host are taken from its own labels, as the registered domain
-    says little about a site below a shared one.
+    Digits of the path count as one character: page numbers say nothing of a page.
     """
+    path = F.regexp_replace(path, "[0-9]+", "0")
     grams = F.array_distinct(F.concat(_grams(host, model.sizes, "h"), _grams(path, model.sizes, "p")))
     hashing = HashingTF(
         numFeatures=model.buckets, binary=True, inputCol="_url_grams", outputCol="_url_features"
