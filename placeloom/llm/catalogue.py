@@ -5,6 +5,7 @@ from __future__ import annotations
 from placeloom.llm import (  # noqa: F401  (importing registers the queries)
     queries_leaks,
     queries_packing,
+    queries_pages,
     queries_rules,
     queries_urls,
 )
