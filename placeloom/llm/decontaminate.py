@@ -128,8 +128,11 @@ def find(
     hashed = split.select("doc_id", "doc_key", F.transform("doc_words", lambda x: F.xxhash64(x)).alias("singles"))
     found = None
     for width in sorted(widths):
+        # explode() would infer a filter on the size of the runs, which Catalyst pushes
+        # below their making, where it cuts the text anew for every run; the outer form
+        # does not, and its one row without a hash for short documents joins nothing.
         runs = hashed.select("doc_id", "doc_key", _document_runs(F.col("singles"), width).alias("runs"))
-        rows = runs.select("doc_id", "doc_key", F.size("runs").alias("n_runs"), F.explode("runs").alias("hash"))
+        rows = runs.select("doc_id", "doc_key", F.size("runs").alias("n_runs"), F.explode_outer("runs").alias("hash"))
         hits = (
             rows.join(minima.where(F.col("width") == width), "hash")
             .where(F.col("n_runs") >= F.col("least"))
@@ -145,7 +148,7 @@ def find(
     suspects = suspects.select("doc_key", words(lowered(F.col("body"))).alias("doc_words"))
     shingles = None
     for width in sorted(widths):
-        rows = suspects.select("doc_key", F.explode(_texts_of(F.col("doc_words"), F.lit(width))).alias("shingle"))
+        rows = suspects.select("doc_key", F.explode_outer(_texts_of(F.col("doc_words"), F.lit(width))).alias("shingle"))
         shingles = rows if shingles is None else shingles.unionByName(rows)
     wanted = items.select(
         "item_id", "item_key", F.col("size").alias("item_shingles"), "least", F.explode("texts").alias("shingle")
