@@ -7,6 +7,7 @@ from placeloom.llm import (  # noqa: F401  (importing registers the queries)
     queries_packing,
     queries_pages,
     queries_rules,
+    queries_tokens,
     queries_urls,
 )
 from placeloom.llm.registry import CHECKS, QUERIES, Query
