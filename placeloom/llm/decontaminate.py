@@ -26,13 +26,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placeloom.llm.sizes import small_side
 from placeloom.llm.words import lowered, shingle_hashes, words
 from placeloom.session import materialize
 
-# Beyond so many rows a side is shuffled instead of broadcast.
-_BROADCAST_ROWS = 500_000
-
-
 @dataclass(frozen=True)
 class Containment:
     """``shingle`` words per shingle; ``threshold`` per cent of an item's shingles."""
@@ -41,11 +38,6 @@ class Containment:
     threshold: int = 80
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast when it is small; it must be cheap to count."""
-    return F.broadcast(df) if df.count() <= _BROADCAST_ROWS else df
-
-
 def _needed(size: Column, rules: Containment) -> Column:
     return F.ceil(size * rules.threshold / 100)
 
@@ -120,7 +112,7 @@ def find(
     id_column, body = F.col(f"`{doc_id}`"), F.coalesce(F.col(f"`{text}`"), F.lit(""))
     items = materialize(item_sketches(benchmark, rules, item_id, item_text), "items")
     widths = [r.width for r in items.select("width").distinct().collect()]  # at most ``shingle`` values
-    minima = _small(items.select("part", "width", "item_id", "item_key", "least", F.explode("minima").alias("hash")))
+    minima = small_side(items.select("part", "width", "item_id", "item_key", "least", F.explode("minima").alias("hash")))
     named = docs.select(
         id_column.alias("doc_id"), F.xxhash64(id_column, body).alias("doc_key"), body.alias("body")
     )
@@ -143,7 +135,7 @@ def find(
         found = named.join(items, F.lit(False)).select("doc_id", "doc_key", "item_id", "item_key")
     candidates = materialize(found.distinct(), "leak-candidates")
     # Verify on strings: only documents with a candidate are cut into shingles again.
-    keys = _small(candidates.select("doc_key").distinct())
+    keys = small_side(candidates.select("doc_key").distinct())
     suspects = named.join(keys, "doc_key", "left_semi").dropDuplicates(["doc_key"])
     suspects = suspects.select("doc_key", words(lowered(F.col("body"))).alias("doc_words"))
     shingles = None
@@ -156,7 +148,7 @@ def find(
     if shingles is None:
         return candidates.select("doc_id", "doc_key", "item_id", F.lit(0).alias("item_shingles"), F.lit(0).alias("matched"))
     matched = (
-        shingles.join(_small(wanted), "shingle")
+        shingles.join(small_side(wanted), "shingle")
         .groupBy("doc_key", "item_id", "item_key", "item_shingles", "least")
         .agg(F.count_distinct("shingle").cast("int").alias("matched"))
         .where(F.col("matched") >= F.col("least"))
@@ -181,4 +173,4 @@ def remove(
         "leaks",
     )
     key = F.xxhash64(F.col(f"`{doc_id}`"), F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    return docs.join(_small(leaks), key == F.col("_leak_key"), "left_anti")
+    return docs.join(small_side(leaks), key == F.col("_leak_key"), "left_anti")
