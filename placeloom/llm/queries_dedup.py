@@ -1,10 +1,10 @@
-"""Near-duplicates: the query and its SQL."""
+"""Near-duplicates and repeated passages: the queries and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from placeloom.llm import near_dedup
+from placeloom.llm import near_dedup, suffix_dedup
 from placeloom.llm.registry import query, table
 
 OP1_SQL = r"""
@@ -43,3 +43,39 @@ RULES = near_dedup.MinHash(shingle=3, threshold=85)
 @query("op1_near_dedup", OP1_SQL)
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), RULES)
+
+
+# Bytes as pairs of hexadecimal digits.
+OP7_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS digits, strlen(coalesce(text, '')) AS n FROM documents),
+runs AS (
+  SELECT doc_id, p, substr(digits, 2 * p + 1, 100) AS run
+  FROM (SELECT doc_id, digits, unnest(range(0, greatest(n - 49, 0))) AS p FROM d)),
+hits AS (
+  SELECT doc_id, p FROM runs QUALIFY min(doc_id) OVER (PARTITION BY run) < doc_id),
+marked AS (
+  SELECT doc_id, p, p > coalesce(lag(p) OVER w + 50, -1) AS fresh
+  FROM hits WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+spans AS (
+  SELECT doc_id, min(p) AS a, max(p) + 50 AS b
+  FROM (SELECT doc_id, p, sum(fresh::INTEGER) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM marked)
+  GROUP BY doc_id, k),
+gaps AS (
+  SELECT doc_id, coalesce(lag(b) OVER w, 0) AS a, a AS b FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+  UNION ALL
+  SELECT doc_id, coalesce(max(b), 0), any_value(n) FROM d LEFT JOIN spans USING (doc_id) GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(substr(digits, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS digits
+  FROM gaps JOIN d USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(kept.digits)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
+"""
+
+
+@query("op7_suffix_dedup", OP7_SQL)
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
