@@ -7,6 +7,7 @@ from placeloom.llm import (  # noqa: F401  (importing registers the queries)
     queries_leaks,
     queries_packing,
     queries_pages,
+    queries_quality,
     queries_rules,
     queries_tokens,
     queries_urls,

@@ -134,7 +134,7 @@ def signatures(sets: list[np.ndarray], rules: MinHash) -> np.ndarray:
     return out
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def text_chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches of some ``_CHUNK_BYTES`` of text, with the texts."""
     for batch in batches:
         texts, start, size = [], 0, 0
@@ -155,7 +155,7 @@ def _key(members: np.ndarray) -> bytes | None:
 
 def _sign(rules: MinHash):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in _chunks(batches, 1):
+        for rows, texts in text_chunks(batches, 1):
             sets = shingle_sets(texts, rules.shingle)
             filled = [k for k, s in enumerate(sets) if len(s)]
             signed = signatures([sets[k] for k in filled], rules) if filled else []
@@ -175,7 +175,7 @@ def _sign(rules: MinHash):
 
 def _sets(rules: MinHash):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in _chunks(batches, 1):
+        for rows, texts in text_chunks(batches, 1):
             found = shingle_sets(texts, rules.shingle)
             yield pa.RecordBatch.from_arrays(
                 [
