@@ -3,8 +3,8 @@
 Every block element of a page is a node. Its density is its characters per tag,
 scaled down the more of its characters are in links, relative to the page (composite
 text density). A node's score is the sum of its children's densities, and the node
-with the largest score is the root of the article. The least density on the path from
-the body to it is the threshold for blocks beside it. Elements that never hold the
+with the largest score is the root of the article. The densities on the path from the
+body to it set the threshold for parts beside it. Elements that never hold the
 article (navigation, forms, asides, ...) are cut off before.
 
 The parser is a tolerant tokenizer with the implied end tags that matter for blocks.
@@ -249,12 +249,11 @@ def main_text(page: str | None) -> str:
     if marked:
         inside = marked[-1]
         return "\n".join(text for node, text in blocks if _within(node, inside))
-    threshold = min(node.density for node in path)
-    chosen = set()
-    for node in order:
-        if node is best or (not node.children and node.chars and node.density >= threshold):
-            chosen.add(id(node))
-    kept = [_within(node, best) or id(node) in chosen for node, _ in blocks]
+    # Halfway from the thinnest node on the path to the body up to the article itself.
+    threshold = (best.density + min(node.density for node in path)) / 2
+    above = {id(node) for node in path[1:]}
+    chosen = {id(node) for node in order if node is best or (node.density >= threshold and id(node) not in above)}
+    kept = [_under(node, chosen) for node, _ in blocks]
     # A heading belongs to the text that follows it.
     for k in range(len(blocks) - 2, -1, -1):
         if not kept[k] and blocks[k][0].tag in _HEADINGS and kept[k + 1]:
@@ -262,6 +261,14 @@ def main_text(page: str | None) -> str:
     return "\n".join(text for (_, text), keep in zip(blocks, kept) if keep)
 
 
+def _under(node: _Node | None, tops: set[int]) -> bool:
+    while node is not None:
+        if id(node) in tops:
+            return True
+        node = node.parent
+    return False
+
+
 def _within(node: _Node | None, top: _Node) -> bool:
     while node is not None:
         if node is top:
