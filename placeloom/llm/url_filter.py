@@ -31,6 +31,7 @@ blog.adult-x-tube.example.com/fr/563 hot-adult.example.net/live/ sex-cams.exampl
 spam-links.example.com/en/29 link-farm.example.net/de/871.html www.spam-blog.example.org/fr/9/
 content-farm.example.com/es/3056 m.spam-offers.example.net/en/147 free-prizes.example.org/winner
 ads-track.example.com/fr/250/ m.ads-click.example.net/en/81 www.track-ads.example.org/de/6402.html
+big-bets.example.org/fr/66 free-pills.example.com/en/12 casino-online.example.org/de/52 bets4free.example.net/es/94
 win-prizes.example.com/es/77 cheap-replica.example.net/en/5113/ adserver-track.example.org/fr/39
 """
 _ACCEPTED = """
@@ -45,6 +46,7 @@ blog.estuary.example.com/fr/563 the-ordinary.example.org/birds/ m.stories.exampl
 www.teaching.example.com/en/29 ting.example.org/de/871.html blog.andover.example.net/fr/9/
 school.example.com/es/3056 www.orchard.example.org/en/147 m.bridges.example.net/apples
 poetry.example.com/fr/250/ www.hospital.example.org/en/81 health.example.net/de/6402.html
+windmills.example.com/en/12 betsy.example.org/fr/66 drills.example.net/es/94 casting.example.org/de/52/
 island.example.com/es/77 forests.example.net/en/5113/ m.rivers.example.org/fr/39
 """
 
