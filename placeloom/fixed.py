@@ -19,7 +19,6 @@ MAX_RESULTS_PER_SEARCH = 20
 MAX_SEARCH_RADIUS_M = 50_000.0
 DEFAULT_TYPES = ["restaurant"]
 DEFAULT_CELL_RADIUS_M = 1000.0
-DEFAULT_AREA_RADIUS_KM = 5.0
 DEFAULT_MIN_REVIEWS = 25
 DEFAULT_MIN_RADIUS_M = 40.0
 DEFAULT_MAX_DEPTH = 6
@@ -56,10 +55,6 @@ FLAG_COLUMNS = [
     "serves_wine", "serves_vegetarian_food", "outdoor_seating",
     "good_for_children", "wheelchair_accessible_entrance",
 ]
-META_COLUMNS = [
-    "raw_json", "first_seen_at", "last_seen_at", "salesforce_id",
-    "salesforce_synced_at",
-]
 SERVICE_FLAG_FIELDS = {
     "takeout": "takeout",
     "delivery": "delivery",

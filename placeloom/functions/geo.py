@@ -59,15 +59,23 @@ def type_scope(types: Column) -> Column:
     return F.array_join(F.array_sort(types), ",")
 
 
-def _to_double(text: Column) -> Column:
+def to_number(text: Column) -> Column:
+    """A plain decimal number; any other text, NaN and infinities are NULL."""
     trimmed = strip(text)
     return F.when(trimmed.rlike(_NUMBER), trimmed.try_cast("double"))
 
 
+def position(lat: Column, lng: Column) -> tuple[Column, Column]:
+    """Latitude and longitude, both NULL unless both are numbers on the globe."""
+    lat, lng = to_number(lat.cast("string")), to_number(lng.cast("string"))
+    placed = F.coalesce(lat.between(-90, 90) & lng.between(-180, 180), F.lit(False))
+    return F.when(placed, lat), F.when(placed, lng)
+
+
 def parse_latlng(text: Column) -> Column:
     """``"lat,lng"`` (or ``;``) as struct<lat, lng, valid>; bad text is flagged."""
     parts = F.split(F.replace(text, F.lit(";"), F.lit(",")), ",")
-    lat, lng = _to_double(F.get(parts, F.lit(0))), _to_double(F.get(parts, F.lit(1)))
+    lat, lng = to_number(F.get(parts, F.lit(0))), to_number(F.get(parts, F.lit(1)))
     valid = (F.size(parts) == 2) & lat.between(-90, 90) & lng.between(-180, 180)
     valid = F.coalesce(valid, F.lit(False))
     return F.struct(
@@ -78,7 +86,7 @@ def parse_latlng(text: Column) -> Column:
 def parse_bbox(text: Column) -> Column:
     """``"south,west,north,east"`` as struct<south, west, north, east, valid>."""
     parts = F.split(text, ",")
-    south, west, north, east = (_to_double(F.get(parts, F.lit(k))) for k in range(4))
+    south, west, north, east = (to_number(F.get(parts, F.lit(k))) for k in range(4))
     valid = F.coalesce((F.size(parts) == 4) & (south < north) & (west < east), F.lit(False))
     named = {"south": south, "west": west, "north": north, "east": east}
     return F.struct(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placeloom import fixed
+from placeloom.functions.geo import position
 from placeloom.operators.grid import profile_circles, radius_class, within_circles
 from placeloom.operators.skew import BROADCAST_ROWS, SIDE_ROWS
 from placeloom.session import materialize, materialize_with
@@ -18,7 +19,7 @@ _WHOLE_EARTH_M = 20_016_000.0
 
 
 def _positions(targets: DataFrame) -> DataFrame:
-    lat, lng = F.col("lat").try_cast("double"), F.col("lng").try_cast("double")
+    lat, lng = position(F.col("lat"), F.col("lng"))
     return targets.select("target_id", lat.alias("p_lat"), lng.alias("p_lng"))
 
 

@@ -42,9 +42,12 @@ def has_key(key: Column) -> Column:
 
 
 def is_closed(closed: Column) -> Column:
-    """Truthy, or one of the accepted words when the column is text."""
+    """True, a number other than zero, or one of the accepted words when it is text."""
+    kind = F.typeof(closed)
+    numeric = kind.isin("tinyint", "smallint", "int", "bigint", "float", "double") | kind.startswith("decimal")
     word = F.lower(strip(closed.cast("string")))
-    return F.coalesce(word.isin(*fixed.CLOSED_WORDS), F.lit(False))
+    closed_by_number = closed.cast("string").try_cast("double") != 0
+    return F.coalesce(F.when(numeric, closed_by_number).otherwise(word.isin(*fixed.CLOSED_WORDS)), F.lit(False))
 
 
 def unsynced(places: DataFrame) -> DataFrame:

@@ -46,11 +46,16 @@ def lift(observations: DataFrame) -> DataFrame:
         F.col("seen_at").alias("last_seen_at"),
         F.lit(None).cast("string").alias("salesforce_id"),
         F.lit(None).cast("timestamp").alias("salesforce_synced_at"),
+        F.lit(None).cast("timestamp").alias("pruned_before"),
     )
 
 
 def fold_state(states: DataFrame) -> DataFrame:
-    """Merge states (lifted observations and/or earlier states) per place."""
+    """Merge states (lifted observations and/or earlier states) per place.
+
+    Content seen before the time up to which a place was pruned stays away, so
+    folding an old observation again does not bring it back.
+    """
     content = content_of(states)
     linked = F.col("salesforce_id").isNotNull()
     newest_link = F.max(
@@ -62,6 +67,9 @@ def fold_state(states: DataFrame) -> DataFrame:
         F.max("last_seen_at").alias("last_seen_at"),
         newest_link["salesforce_id"].alias("salesforce_id"),
         F.max("salesforce_synced_at").alias("salesforce_synced_at"),
+        F.max("pruned_before").alias("pruned_before"),
+    ).withColumns(
+        {c: F.when(F.coalesce(F.col(c)["seen_at"] >= F.col("pruned_before"), F.lit(True)), F.col(c)) for c in content}
     )
 
 
@@ -112,6 +120,7 @@ def state_schema(content: list[str] | None = None) -> T.StructType:
             T.StructField("last_seen_at", T.TimestampType()),
             T.StructField("salesforce_id", T.StringType()),
             T.StructField("salesforce_synced_at", T.TimestampType()),
+            T.StructField("pruned_before", T.TimestampType()),
         ]
     )
 
@@ -119,10 +128,15 @@ def state_schema(content: list[str] | None = None) -> T.StructType:
 def prune_stale(df: DataFrame, cutoff: datetime) -> DataFrame:
     """Blank all content of stale places; works on states and on place tables.
 
-    The id, the seen times and the downstream link stay.
+    The id, the seen times and the downstream link stay.  A state also keeps the
+    time it was pruned up to.
     """
     stale = is_stale(F.col("last_seen_at"), cutoff)
-    return df.withColumns({c: F.when(~stale, F.col(c)) for c in content_of(df)})
+    blank = {c: F.when(~stale, F.col(c)) for c in content_of(df)}
+    if "pruned_before" in df.columns:
+        pruned = F.greatest("pruned_before", F.lit(cutoff).cast("timestamp"))
+        blank["pruned_before"] = F.when(stale, pruned).otherwise(F.col("pruned_before"))
+    return df.withColumns(blank)
 
 
 def count_stale(df: DataFrame, cutoff: datetime) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeloom import fixed
-from placeloom.functions.geo import haversine_m
+from placeloom.functions.geo import haversine_m, position
 from placeloom.functions.text import (
     address_key,
     name_norm,
@@ -34,10 +34,6 @@ from placeloom.session import materialize
 LINKS = "target_id", "evidence", "record_pos", "distance_m"
 
 
-def _number(column: str) -> Column:
-    return F.col(column).try_cast("double")
-
-
 def linkage_columns(
     df: DataFrame, prefix: str, identity: str, country_codes: list[str] | None = None
 ) -> DataFrame:
@@ -45,12 +41,11 @@ def linkage_columns(
 
     ``lat`` and ``lng`` may be text; unusable ones count as unknown.
     """
-    lat, lng = _number("lat"), _number("lng")
-    placed = lat.isNotNull() & lng.isNotNull()
+    lat, lng = position(F.col("lat"), F.col("lng"))
     return df.select(
         identity,
-        F.when(placed, lat).alias(f"{prefix}_lat"),
-        F.when(placed, lng).alias(f"{prefix}_lng"),
+        lat.alias(f"{prefix}_lat"),
+        lng.alias(f"{prefix}_lng"),
         phone_key(F.col("phone"), country_codes).alias(f"{prefix}_phone"),
         address_key(F.col("address")).alias(f"{prefix}_address"),
         name_norm(F.col("name")).alias(f"{prefix}_norm"),

@@ -114,14 +114,16 @@ def deliver(batches: DataFrame, send: Callable[[list[str]], list[dict]]) -> Data
     """Hand every batch to ``send`` on the executors; one result per record.
 
     A batch is bounded by the batch size, so a group never grows with the data.
-    ``send`` gets the payloads in order and answers in the same order; tasks can
+    ``send`` gets the payloads in order and answers in the same order; a record
+    that it gives no answer for counts as failed.  Tasks can
     be retried, so it must be idempotent on the external id.  Results are
     written out at once, so nothing is sent again by a later recomputation.
     """
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values("pos")
-        answers = send(list(batch["payload"]))
+        answers = list(send(list(batch["payload"])))
+        answers += [{"errors": "no answer"}] * (len(batch) - len(answers))
         rows = [
             {
                 "batch_id": batch_id,
@@ -168,11 +170,12 @@ def delivered_ids(matched: DataFrame) -> DataFrame:
 def upsert_target(target: DataFrame, records: DataFrame, key: str) -> DataFrame:
     """Keyed upsert into a target table: given fields win, omitted ones stay.
 
+    Records that share a key are one: of each field the largest value given counts.
     Returns the target's columns plus ``change`` (created, updated, kept).
     """
     fields = [c for c in target.columns if c != key]
     old = target.select(key, *[F.col(c).alias(f"_old_{c}") for c in fields], F.lit(1).alias("_o"))
-    new = records.select(key, *[F.col(c).alias(f"_new_{c}") for c in fields], F.lit(1).alias("_n"))
+    new = records.groupBy(key).agg(*[F.max(c).alias(f"_new_{c}") for c in fields], F.lit(1).alias("_n"))
     joined = old.join(new, key, "full")
     change = (
         F.when(F.col("_o").isNull(), "created")

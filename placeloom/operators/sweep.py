@@ -19,7 +19,7 @@ from placeloom.functions.geo import CELL_KEY, with_cell_identity
 from placeloom.operators.cover import split_children
 from placeloom.operators.filters import below_bar, has_key, wanted_kind
 from placeloom.operators.grid import CircleProfile, class_set, search_radius
-from placeloom.operators.numbering import first_rows
+from placeloom.operators.numbering import first_rows, number_rows
 from placeloom.operators.search import capped_search, rank_for
 from placeloom.operators.skew import BROADCAST_ROWS
 from placeloom.schemas import CELL_LOG
@@ -77,10 +77,14 @@ COUNTERS = [
 
 
 def latest_log(log: DataFrame) -> DataFrame:
-    """One row per scope and cell: the most recently searched one."""
+    """One row per scope and cell: the most recently searched one.
+
+    A log with ``run_seq`` orders rows searched at the same time by it.
+    """
     keyed = with_cell_identity(log)
     columns = [c for c in log.columns if c != "scope"]
-    newest = F.max_by(F.struct(*columns), F.col("searched_at")).alias("_row")
+    order = F.struct(*[c for c in ("searched_at", "run_seq") if c in log.columns])
+    newest = F.max_by(F.struct(*columns), order).alias("_row")
     return keyed.groupBy("scope", *CELL_KEY).agg(newest).select(
         "scope", *CELL_KEY, *[F.col(f"_row.{c}").alias(c) for c in columns]
     )
@@ -169,7 +173,7 @@ def claim_new(
 ) -> DataFrame:
     """Flag new places, credited to the earliest cell in the queue that kept them.
 
-    ``max_hits`` is a proven bound on the results (cells times the cap); when it
+    ``max_hits`` is the counted number of results; when it
     is small the ids in play are broadcast, so the ids ever stored are scanned
     but not shuffled.
     """
@@ -276,7 +280,19 @@ def plan_measures() -> dict[str, Column]:
 
 
 def start_frontier(cells: DataFrame) -> DataFrame:
-    """Level-0 cells (one area, ``queue_pos`` unique) as a frontier."""
+    """Level-0 cells as a frontier, whose ``queue_pos`` is unique.
+
+    Covers number the cells of each area on their own.  Cells of several areas are
+    numbered anew, area by area; without ``area_id`` repeated numbers are an error,
+    because results, claims and counters are kept by them.
+    """
+    n = cells.agg(F.count("*").alias("rows"), F.count_distinct("queue_pos").alias("numbers")).first()
+    if n.rows != n.numbers:
+        if "area_id" not in cells.columns:
+            raise ValueError("queue_pos repeats and there is no area_id to tell cells apart")
+        cells = number_rows(
+            cells.withColumnRenamed("queue_pos", "_area_pos"), [F.col("area_id"), F.col("_area_pos")], "queue_pos"
+        )
     return cells.select("queue_pos", "lat", "lng", "radius_m", "depth").withColumn(
         "copies", F.lit(1).cast("bigint")
     )
@@ -321,16 +337,20 @@ def landed_results_search(results: DataFrame) -> SearchFn:
     primary_type, status ('ok' | 'failed').  An empty answer is one row with
     NULL place_id and status 'empty'.  Cells without any row have not been
     answered yet and count as failed: they are not logged, so the next run
-    asks again.
+    asks again.  With ``answered_at`` only the newest answer of a cell counts;
+    without it a failure counts only while nothing else has landed.
     """
+    if "answered_at" in results.columns:
+        newest = results.groupBy(*CELL_KEY).agg(F.max("answered_at").alias("answered_at"))
+        results = results.join(newest, [*CELL_KEY, "answered_at"], "left_semi")
 
     def search(cells: DataFrame, profile: CircleProfile | None = None):
         answered = cells.select("queue_pos", *CELL_KEY).join(results, CELL_KEY, "left")
         answered = materialize(answered, "landed")
         failed = (
             answered.groupBy("queue_pos")
-            .agg(F.count_if(F.coalesce(F.col("status"), F.lit("failed")) == "failed").alias("n"))
-            .where("n > 0")
+            .agg(F.count_if(F.col("status") != "failed").alias("answers"))
+            .where("answers = 0")
             .select("queue_pos")
         )
         hits = answered.where("status = 'ok'").join(failed, "queue_pos", "left_anti")
@@ -345,21 +365,23 @@ def run_sweep(
     settings: SweepSettings,
     log: DataFrame | None = None,
     known_ids: DataFrame | None = None,
-    as_of: datetime = datetime(2000, 1, 1),
+    as_of: datetime | None = None,
 ) -> SweepResult:
     """Sweep breadth-first until nothing is left to split or the budget ends.
 
     ``log`` is the resume log of earlier runs (any scope), ``known_ids`` the
-    place ids already stored.  The budget counts searches of this run only;
+    place ids already stored.  ``as_of`` is the time the cells are logged with, by
+    default that of the run.  The budget counts searches of this run only;
     skipped cells are free.  Per level three narrow tables are written to the
     shared folder, so lineage never grows with depth.
     """
     spark = cells.sparkSession
+    as_of = as_of or datetime.now()
     frontier = start_frontier(cells)
     history = []
     if log is not None:
         history = [materialize(cell_history(with_scope(log), settings.scope), "history")]
-    stored = [] if known_ids is None else [known_ids.select("place_id")]
+    stored = [] if known_ids is None else [known_ids.select("place_id").distinct()]
     logs: list[DataFrame] = []
     kept: list[DataFrame] = []
     levels: list[dict] = []
@@ -376,8 +398,14 @@ def run_sweep(
         n_todo = level["todo"]
         out_of_budget = remaining is not None and n_todo > remaining
         if out_of_budget:
-            todo = first_rows(todo, [F.col("queue_pos")], remaining)
+            todo = materialize(first_rows(todo, [F.col("queue_pos")], remaining), "in-budget")
             n_todo = remaining
+            # The queue ends at the first cell not searched: nothing behind it is skipped.
+            taken = F.coalesce(F.max("queue_pos"), F.lit(-1)).alias("last")
+            last = todo.agg(taken).first()["last"]
+            rest = planned.where(~F.col("searched_before") & (F.col("queue_pos") > last))
+            end = rest.agg(F.min("queue_pos")).first()[0]
+            level["skipped"] = planned.where(F.col("queue_pos") < end).agg(plan_measures()["skipped"]).first()[0]
 
         hits, failed = search(todo, CircleProfile(n_todo, tuple(sorted(level["classes"]))))
         done, n_failed, failed_copies = todo, 0, 0
@@ -390,8 +418,8 @@ def run_sweep(
             )
             n_failed, failed_copies = tried["n"], tried["n"] - tried["cells"]
             done = todo.join(failed, "queue_pos", "left_anti")
-        judged = materialize(judge_hits(hits, settings), "hits")
-        claimed = claim_new(judged, _union(stored), n_todo * settings.max_results)
+        judged, seen = materialize_with(judge_hits(hits, settings), "hits", n=F.count(F.lit(1)))
+        claimed = materialize(claim_new(judged, _union(stored), seen["n"]), "claimed")
         outcomes, counters = materialize_with(
             cell_outcomes(done.select(*FRONTIER), claimed, settings),
             "outcomes",
@@ -407,7 +435,8 @@ def run_sweep(
         history.append(with_cell_identity(outcomes).select(*CELL_KEY, "split"))
         logs.append(log_rows(outcomes, settings.scope, as_of))
         kept.append(found)
-        stored.append(found.select("place_id"))
+        # Only ids not stored before: each place is in the union once.
+        stored.append(claimed.where("is_new").select("place_id"))
         if out_of_budget:
             stopped_early = f"request budget of {settings.budget} calls is used up"
             break

@@ -56,6 +56,9 @@ CELL_LOG = T.StructType(
     ]
 )
 
+# The stored log also tells which append a row came with.
+NUMBERED_LOG = T.StructType([*CELL_LOG.fields, T.StructField("run_seq", T.LongType())])
+
 CURATED = T.StructType(
     [
         T.StructField("target_id", T.StringType()),

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from placeloom.operators import fold
 from placeloom.operators.outbound import upsert_target
 from placeloom.operators.sweep import latest_log, with_scope
-from placeloom.schemas import CELL_LOG
+from placeloom.schemas import CELL_LOG, NUMBERED_LOG
 from placeloom.session import materialize, materialize_with, path_exists
 
 _COMMIT = "version int, bucket int"
@@ -104,10 +104,12 @@ class PlaceStore:
         self.table.replace(fold.fold_state(merged), numbers)
 
     def mark_synced(self, results: DataFrame, synced_at: datetime) -> None:
-        numbers = self.table.touched(results)
+        """Record deliveries; ids the store does not hold change nothing."""
+        known = results.join(self.state().select("place_id"), "place_id", "left_semi")
+        numbers = self.table.touched(known)
         if numbers:
             current = self.table.read(numbers)
-            self.table.replace(fold.mark_synced(current, results, synced_at), numbers)
+            self.table.replace(fold.mark_synced(current, known, synced_at), numbers)
 
     def prune(self, cutoff: datetime) -> int:
         """Blank stale content; returns the rows affected, blank ones included."""
@@ -148,7 +150,11 @@ class TargetTable:
 
 
 class CellLog:
-    """Append-only log of searched cells; a reset starts a new version."""
+    """Append-only log of searched cells; a reset starts a new version.
+
+    Appends are numbered: of rows searched at the same time the one appended last
+    is the newest.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -165,13 +171,17 @@ class CellLog:
 
     def append(self, rows: DataFrame) -> None:
         names = CELL_LOG.fieldNames()
-        with_scope(rows).select(*names).write.mode("append").parquet(self._data())
+        number = 0
+        if path_exists(self.spark, self._data()):
+            number = self.rows().agg(F.coalesce(F.max("run_seq") + 1, F.lit(0))).first()[0]
+        numbered = with_scope(rows).select(*names, F.lit(number).cast("bigint").alias("run_seq"))
+        numbered.write.mode("append").parquet(self._data())
 
     def rows(self) -> DataFrame:
         path = self._data()
         if not path_exists(self.spark, path):
-            return self.spark.createDataFrame([], CELL_LOG)
-        return self.spark.read.schema(CELL_LOG).parquet(path)
+            return self.spark.createDataFrame([], NUMBERED_LOG)
+        return self.spark.read.schema(NUMBERED_LOG).parquet(path)
 
     def latest(self) -> DataFrame:
         return latest_log(self.rows())

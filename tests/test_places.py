@@ -181,6 +181,24 @@ def test_store_upserts_prunes_and_reopens(spark, tmp_path):
     assert by_id(held)["a"].name == "New"
 
 
+def test_unknown_ids_and_replays_after_a_prune(spark, tmp_path):
+    store = PlaceStore(spark, str(tmp_path / "places"), buckets=8)
+    results = spark.createDataFrame([(f"unknown{k}", "x") for k in range(20)], "place_id string, id string")
+    store.mark_synced(results, NOW)
+    assert store.count() == 0
+    store.upsert(spark.createDataFrame(ROWS[:4], OBSERVATION))
+    before = sorted(map(repr, store.places().collect()))
+    store.mark_synced(results, NOW)
+    assert sorted(map(repr, store.places().collect())) == before
+    store.prune(NOW + timedelta(hours=3, minutes=30))
+    blank = by_id(store.places())["a"]
+    assert blank.name is None
+    store.upsert(spark.createDataFrame(ROWS[:3], OBSERVATION))
+    assert by_id(store.places())["a"] == blank
+    store.upsert(spark.createDataFrame([observation("a", 9, name="Seen again")], OBSERVATION))
+    assert by_id(store.places())["a"].name == "Seen again"
+
+
 def test_pruned_log_does_not_bring_content_back(spark):
     log = fold.prune_log(spark.createDataFrame(ROWS[:4], OBSERVATION), NOW + timedelta(hours=3.5))
     got = by_id(fold.places_of(fold.fold_observations(log)))
@@ -222,6 +240,10 @@ def test_cell_log_appends_and_resets(spark, tmp_path):
     log.append(spark.createDataFrame([(*row[:5], 3, False, False, NOW + timedelta(1))], CELL_LOG))
     assert log.rows().count() == 2 and log.latest().count() == 1
     assert log.cells().first().saturated is False
+    # Of rows searched at the same time the one appended last counts.
+    for count in (11, 2, 12):
+        log.append(spark.createDataFrame([(*row[:5], count, False, False, NOW + timedelta(2))], CELL_LOG))
+        assert log.latest().first().result_count == count
     log.reset()
     assert CellLog(spark, str(tmp_path / "log")).rows().count() == 0
 

@@ -221,3 +221,57 @@ def test_log_keeps_the_latest_row_and_old_keys_migrate(spark):
     moved = [r[0] for r in sweep.migrate_keys(keys).collect()]
     assert moved == ["restaurant|1.0,2.0,3.0", "bar|1.0,2.0,3.0"]
     assert [r[0] for r in sweep.migrate_keys(sweep.migrate_keys(keys)).collect()] == moved
+
+
+AREA_CELL = "area_id string, " + CELL
+
+
+def test_areas_swept_together_equal_single_sweeps(spark):
+    """Each area's cells are numbered from 0; no cap, claim or counter is shared."""
+    near = cluster(60)
+    moved = lambda r: (f"far-{r[0]}", r[1], r[2] + 3.0, *r[3:])
+    rows = near + [moved(r) for r in near]
+    settings = sweep.SweepSettings(min_radius_m=30.0, max_depth=3, restaurants_only=False)
+    places = spark.createDataFrame(rows, PLACE)
+    cells = [("a", k, *c) for k, c in enumerate(CIRCLES)]
+    cells += [("b", k, c[0], c[1] + 3.0, *c[2:]) for k, c in enumerate(CIRCLES)]
+    search = sweep.place_table_search(places, settings)
+    both = sweep.run_sweep(spark.createDataFrame(cells, AREA_CELL), search, settings)
+    found, totals = set(), {}
+    for area in "ab":
+        own = spark.createDataFrame([c for c in cells if c[0] == area], AREA_CELL)
+        one = sweep.run_sweep(own, search, settings)
+        found |= {r.place_id for r in one.observations.select("place_id").distinct().collect()}
+        for name in sweep.COUNTERS:
+            totals[name] = totals.get(name, 0) + one.totals()[name]
+    assert {name: both.totals()[name] for name in sweep.COUNTERS} == totals
+    assert {r.place_id for r in both.observations.select("place_id").distinct().collect()} == found
+    with pytest.raises(ValueError):
+        sweep.start_frontier(spark.createDataFrame([c[1:] for c in cells], CELL))
+
+
+def test_failed_cell_is_done_once_an_answer_lands(spark):
+    cells = spark.createDataFrame([(0, 40.0, 49.0, 500.0, 0), (1, 40.01, 49.0, 500.0, 0)], CELL)
+    keyed = with_cell_identity(cells)
+    row = lambda pos, place, status, day: keyed.where(F.col("queue_pos") == pos).select(
+        *CELL_KEY, F.lit(place).cast("string").alias("place_id"),
+        F.lit(30).cast("bigint").alias("user_rating_count"), F.lit("cafe").alias("primary_type"),
+        F.lit(status).alias("status"), F.lit(datetime(2020, 1, day)).alias("answered_at"),
+    )
+    landed = row(0, None, "failed", 1).unionByName(row(0, "a", "ok", 2))
+    landed = landed.unionByName(row(1, "b", "ok", 1)).unionByName(row(1, None, "failed", 2))
+    settings = sweep.SweepSettings()
+    timed = sweep.run_sweep(cells, sweep.landed_results_search(landed), settings).totals()
+    assert (timed["cells_searched"], timed["cells_failed"], timed["new_places"]) == (1, 1, 1)
+    untimed = landed.drop("answered_at")
+    plain = sweep.run_sweep(cells, sweep.landed_results_search(untimed), settings).totals()
+    assert (plain["cells_searched"], plain["cells_failed"], plain["new_places"]) == (2, 0, 2)
+
+
+def test_nothing_behind_a_budget_cut_is_skipped(spark):
+    places = spark.createDataFrame(cluster(5), PLACE)
+    circles = [(40.0, 49.0, 400.0, 0), (40.1, 49.0, 400.0, 0), (40.2, 49.0, 400.0, 0), (40.2, 49.0, 400.0, 0)]
+    cells = spark.createDataFrame([(k, *c) for k, c in enumerate(circles)], CELL)
+    settings = sweep.SweepSettings(budget=1, max_depth=0)
+    totals = sweep.run_sweep(cells, sweep.place_table_search(places, settings), settings).totals()
+    assert (totals["cells_searched"], totals["cells_skipped"]) == (1, 0)
