@@ -11,7 +11,8 @@ sending every suffix around:
    another block as well. Only those, and marks found twice within the block, can
    belong to repeated windows; the rest of the text is done.
 3. The stretches of text behind these marks go to the bucket of their mark, each
-   distinct one once per block with the documents that hold it. A bucket is sorted
+   distinct one once per block with the documents that hold it. A stretch whose mark
+   no other text has is settled by its smallest id. The others of a bucket are sorted
    in shards of bounded size: a suffix array per shard (Larsson-Sadakane), common
    prefixes (Kasai), so that windows that agree in ``length`` bytes form a group
    with a smallest id. Shards are merged by binary search of one's sorted windows
@@ -49,6 +50,7 @@ _NO_ID = (1 << 63) - 1
 # No byte of UTF-8.
 _BETWEEN = 0xFF
 _BASE = 0x9E3779B97F4A7C15
+_PIECE = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -71,12 +73,6 @@ def _unpacked(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data), kind)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     """Per place the polynomial of the ``size`` bytes there, from runs of powers of two."""
     runs, run, out, covered = data.astype(np.uint64) + np.uint64(1), 1, None, 0
@@ -103,16 +99,21 @@ def _least_of(values: np.ndarray, count: int) -> np.ndarray:
 
 def marks(data: np.ndarray, rules: Passages) -> np.ndarray:
     """Per place the mark of the window that starts there."""
-    if len(data) < rules.length:
-        return np.zeros(0, np.uint64)
+    out = np.zeros(max(len(data) - rules.length + 1, 0), np.uint64)
+    # In pieces that stay in the processor's cache.
     with np.errstate(over="ignore"):
-        return _least_of(_mix(_gram_hashes(data, rules.gram)), rules.length - rules.gram + 1)
+        for at in range(0, len(out), _PIECE):
+            piece = data[at : min(at + _PIECE, len(out)) + rules.length - 1]
+            grams = _gram_hashes(piece, rules.gram)
+            grams = (grams ^ (grams >> np.uint64(32))) * np.uint64(_BASE)
+            out[at : at + _PIECE] = _least_of(grams, rules.length - rules.gram + 1)
+    return out
 
 
 class _Block:
     """The documents of a block in the order of id and text, and their stretches."""
 
-    def __init__(self, rows: pa.Table, rules: Passages):
+    def __init__(self, rows: pa.Table):
         ids = [_NO_ID if x is None else x for x in rows["_sx_id"].to_pylist()]
         texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in rows["_sx_text"]]
         self.order = sorted(range(len(ids)), key=lambda k: (ids[k], texts[k]))
@@ -121,27 +122,27 @@ class _Block:
         self.data = np.frombuffer(b"".join(self.texts), np.uint8)
         self.ends = np.cumsum([len(t) for t in self.texts])
         self.starts = self.ends - [len(t) for t in self.texts]
-        self._cut(rules)
 
-    def _cut(self, rules: Passages) -> None:
-        """Stretches: runs of windows of one document with one mark."""
+    def stretches(self, rules: Passages) -> _Block:
+        """Find the runs of windows of one document with one mark."""
         found = marks(self.data, rules)
         n = len(found)
-        inside = np.zeros(n, bool)
-        for start, end in zip(self.starts.tolist(), self.ends.tolist()):
-            inside[start : max(end - rules.length + 1, start)] = True
-        # Documents are parted by windows that reach over their ends.
-        fresh = inside.copy()
-        fresh[1:] &= ~inside[:-1] | (found[1:] != found[:-1])
-        places = np.flatnonzero(inside)
-        since = places - np.maximum.accumulate(np.where(fresh[places], places, 0)) if len(places) else places
-        heads = places[since % _STRETCH == 0]
-        self.first = heads
-        self.mark = found[heads]
-        # A stretch ends where the next begins or its document's windows end.
-        member = np.searchsorted(heads, places, "right") - 1
-        self.windows = np.bincount(member, minlength=len(heads))
-        self.doc = np.searchsorted(self.ends, heads, "right")
+        fresh = np.ones(n, bool)
+        fresh[1:] = found[1:] != found[:-1]
+        fresh[self.starts[self.starts < n]] = True
+        heads = np.flatnonzero(fresh)
+        doc = np.searchsorted(self.ends, heads, "right")
+        # A run ends where the next begins or its document's windows end.
+        ends = np.minimum(np.append(heads[1:], n), self.ends[doc] - rules.length + 1) if n else heads
+        own = ends > heads
+        heads, doc, sizes = heads[own], doc[own], (ends - heads)[own]
+        pieces = -(-sizes // _STRETCH)
+        part = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        self.mark = np.repeat(found[heads], pieces)
+        self.doc = np.repeat(doc, pieces)
+        self.first = np.repeat(heads, pieces) + part * _STRETCH
+        self.windows = np.minimum(np.repeat(sizes, pieces) - part * _STRETCH, _STRETCH)
+        return self
 
 
 def _split(mark: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +163,7 @@ def _as_marks(data: bytes) -> np.ndarray:
 def _send_marks(rules: Passages, buckets: int):
     def send(rows: pa.Table) -> pa.Table:
         block = rows["_sx_block"][0].as_py()
-        bucket, rest = _split(_Block(rows, rules).mark, buckets)
+        bucket, rest = _split(_Block(rows).stretches(rules).mark, buckets)
         order = np.lexsort((rest, bucket))
         bucket, rest = bucket[order], rest[order]
         new = np.ones(len(order), bool)
@@ -199,7 +200,7 @@ def _send_stretches(rules: Passages, buckets: int):
     def send(rows: pa.Table, flags: pa.Table) -> pa.Table:
         out: dict[str, list] = {name: [] for name in ("_sx_block", "bucket", "texts", "windows", "holders", "ids", "places")}
         if rows.num_rows:
-            found = _Block(rows, rules)
+            found = _Block(rows).stretches(rules)
             bucket, rest = _split(found.mark, buckets)
             wanted = _twice(found)
             order = np.argsort(bucket, kind="stable")
@@ -324,10 +325,19 @@ def _find_spans(rules: Passages):
                     least[k] = low
                 numbers.append(k)
             held.append((np.repeat(np.array(numbers, np.int64), counts), ids, _unpacked(row["places"], "<u4")))
-        owners = window_owners(list(place), np.array(least, np.int64), rules)
-        counts = np.array([len(o) for o in owners], np.int64)
-        flat = np.concatenate(owners)
+        texts, least = list(place), np.array(least, np.int64)
+        counts = np.array([len(t) for t in texts], np.int64) - rules.length + 1
         offsets = np.cumsum(counts) - counts
+        flat = np.repeat(least, counts)
+        # Equal windows have equal marks: a text whose mark no other text has owns its windows.
+        ends = np.cumsum(counts + rules.length - 1)
+        mark = marks(np.frombuffer(b"".join(texts), np.uint8), rules)[ends - counts - rules.length + 1]
+        _, group, size = np.unique(mark, return_inverse=True, return_counts=True)
+        mixed = np.flatnonzero(size[group] > 1)
+        if len(mixed):
+            owners = window_owners([texts[k] for k in mixed.tolist()], least[mixed], rules)
+            for k, owner in zip(mixed.tolist(), owners):
+                flat[offsets[k] : offsets[k] + counts[k]] = owner
         # Most stretches have one owner for all their windows.
         low, high = np.minimum.reduceat(flat, offsets), np.maximum.reduceat(flat, offsets)
         blocks, firsts, lasts = [], [], []
@@ -364,7 +374,7 @@ def _trim(rules: Passages, schema: pa.Schema):
     def trim(rows: pa.Table, spans: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return pa.table([pa.array([], f.type) for f in schema], schema=schema)
-        found = _Block(rows, rules)
+        found = _Block(rows)
         change = np.zeros(len(found.data) + 1, np.int64)
         for row in spans.to_pylist():
             np.add.at(change, _unpacked(row["starts"], "<u4"), 1)
