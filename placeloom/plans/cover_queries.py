@@ -11,7 +11,7 @@ from placeloom.plans.check_sql import M_LAT, STEP, children, cover as cover_sql,
 from placeloom.plans.registry import query
 from placeloom.plans.views import view, view_sql
 
-_CITY_BOXES = f"""(select coalesce(city, '?') as area_id, min(latitude) as south,
+CITY_BOXES = f"""(select coalesce(city, '?') as area_id, min(latitude) as south,
   min(longitude) as west, max(latitude) as north, max(longitude) as east,
   500.0::double as cell_radius_m from {view_sql('places_v')} group by 1)"""
 
@@ -34,7 +34,7 @@ def box_cells(spark, sf_dir, cell_radius_m=fixed.DEFAULT_CELL_RADIUS_M):
     )
 
 
-def _city_boxes(spark, sf_dir):
+def city_boxes(spark, sf_dir):
     return (
         view(spark, sf_dir, "places_v")
         .groupBy(F.coalesce(F.col("city"), F.lit("?")).alias("area_id"))
@@ -63,10 +63,10 @@ _ROUNDED = "round(lat, 6) as lat, round(lng, 6) as lng, round(radius_m, 3) as ra
 
 @query(
     "cover_bbox",
-    f"select area_id, i, j, queue_pos, {_ROUNDED} from {cover_sql(_CITY_BOXES)}",
+    f"select area_id, i, j, queue_pos, {_ROUNDED} from {cover_sql(CITY_BOXES)}",
 )
 def cover_bbox(spark, sf_dir):
-    cells = cover.cover_bbox(_city_boxes(spark, sf_dir))
+    cells = cover.cover_bbox(city_boxes(spark, sf_dir))
     return rounded(cells, "area_id", "i", "j", "queue_pos")
 
 
@@ -99,10 +99,10 @@ def cover_disc(spark, sf_dir):
 @query(
     "split_children",
     f"""select area_id, queue_pos, depth, {_ROUNDED}
-    from {children(cover_sql(_CITY_BOXES), keep='area_id,')}""",
+    from {children(cover_sql(CITY_BOXES), keep='area_id,')}""",
 )
 def split_children(spark, sf_dir):
-    cells = cover.cover_bbox(_city_boxes(spark, sf_dir)).select(
+    cells = cover.cover_bbox(city_boxes(spark, sf_dir)).select(
         "area_id", "queue_pos", "lat", "lng", "radius_m", "depth"
     )
     return rounded(cover.split_children(cells), "area_id", "queue_pos", "depth")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from placeloom.functions.geo import CELL_KEY
 from placeloom.operators import report, sweep
-from placeloom.operators.cover import split_children
+from placeloom.operators.cover import cover_bbox, split_children
 from placeloom.operators.numbering import first_rows
 from placeloom.operators.search import DISTANCE, POPULARITY, capped_search, rank_for
 from placeloom.plans.check_sql import (
@@ -22,7 +22,7 @@ from placeloom.plans.check_sql import (
     judged,
     outcomes,
 )
-from placeloom.plans.cover_queries import box_cells, rounded
+from placeloom.plans.cover_queries import CITY_BOXES, box_cells, city_boxes, rounded
 from placeloom.plans.registry import query
 from placeloom.plans.views import view, view_sql
 
@@ -96,6 +96,26 @@ def split_decision(spark, sf_dir):
     )
 
 
+# Cells of all cities, numbered city by city.
+_CITY_CELLS = f"""(select (row_number() over (order by area_id, queue_pos) - 1)::bigint as queue_pos,
+    lat, lng, radius_m, depth from {cover_sql(CITY_BOXES)})"""
+
+
+@query(
+    "multi_area_cover",
+    f"""select queue_pos, result_count, n_kept, n_new, saturated, split
+    from {outcomes(_CITY_CELLS, judged(hits(_CITY_CELLS, POPULARITY_ORDER), 25), 25, 6)}""",
+)
+def multi_area_cover(spark, sf_dir):
+    """One level over the covers of all cities: no cap, claim or counter is shared."""
+    cells = sweep.start_frontier(cover_bbox(city_boxes(spark, sf_dir)))
+    found = capped_search(cells, view(spark, sf_dir, "places_v"), ["queue_pos"], POPULARITY)
+    claimed = sweep.claim_new(sweep.judge_hits(found, _BAR))
+    return sweep.cell_outcomes(cells, claimed, _BAR).select(
+        "queue_pos", "result_count", "n_kept", "n_new", "saturated", "split"
+    )
+
+
 _KNOWN = f"""(select distinct place_id from {view_sql('observations_v')}
   where website is not null)"""
 
