@@ -11,6 +11,7 @@ from placeloom.plans.place_queries import place_rows
 from placeloom.plans.registry import query
 from placeloom.plans.views import view_sql
 from placeloom.session import scratch_path
+from placeloom.sources.sync import send_to, sync_places
 from placeloom.sources.tables import TargetTable
 
 _PLACES = view_sql("places_v")
@@ -196,3 +197,21 @@ def delivered_results(spark, sf_dir):
 
     results = outbound.deliver(batches, send)
     return outbound.match_results(batches, results).select("place_id", "success", "id")
+
+
+@query(
+    "sync_job",
+    f"""select place_id, true as success, record_pos % 2 <> 0 as created, place_id as id
+    from {_PLACES} where salesforce_synced_at is null""",
+)
+def sync_job(spark, sf_dir):
+    """Unsynced places into a table that holds every other key already."""
+    places = place_rows(spark, sf_dir)
+    even = F.substring("place_id", 2, 9).cast("bigint") % 2 == 0
+    existing = places.where(even).select(
+        F.col("place_id").alias("Google_Place_Id__c"), F.lit("old name").alias("Name")
+    )
+    table = TargetTable(spark, scratch_path(spark, "sync-target"), existing.schema, "Google_Place_Id__c", 8)
+    table.upsert(existing)
+    result = sync_places(places, send_to(table), batch_size=_BATCH, only_unsynced=True, stamped_at=_AS_OF)
+    return result.matched.select("place_id", "success", "created", "id")

@@ -84,3 +84,29 @@ def test_target_table(spark, tmp_path):
     got = {r.k: (r.v, r.n) for r in table.read().collect()}
     assert got == {"a": ("A", 5), "b": (None, 2), "c": ("C", None)}
     assert table.upsert(rows.limit(0)) == {"created": 0, "updated": 0}
+
+
+def test_sync_of_a_store_and_dry_run(spark, tmp_path):
+    from placeloom.schemas import OBSERVATION
+    from placeloom.sources.sync import send_to, send_with, sync_store
+    from placeloom.sources.tables import PlaceStore, TargetTable
+
+    from test_places import observation
+
+    store = PlaceStore(spark, str(tmp_path / "store"), buckets=2)
+    rows = [observation(k, 1, name=n, primary_type="cafe") for k, n in (("a", "Uno"), ("b", "Dos"), ("c", "Tres"))]
+    store.upsert(spark.createDataFrame(rows, OBSERVATION))
+    key = "Google_Place_Id__c"
+    table = TargetTable(spark, str(tmp_path / "target"), spark.createDataFrame([], f"{key} string, Name string").schema, key, 2)
+    table.upsert(spark.createDataFrame([("b", "old"), ("b", "older")], f"{key} string, Name string"))
+    assert table.read().count() == 1
+    dry = sync_store(store, send_to(table), NOW, dry_run=True)
+    assert dry.summary == {"total": 3, "success": 0, "created": 0, "failed": 0} and '"Dos"' in dry.first_record
+    assert table.read().count() == 1 and store.places().where("salesforce_synced_at is not null").isEmpty()
+    done = sync_store(store, send_to(table), NOW)
+    assert done.summary == {"total": 3, "success": 3, "created": 2, "failed": 0}
+    assert {r[key]: r.Name for r in table.read().collect()} == {"a": "Uno", "b": "Dos", "c": "Tres"}
+    assert store.places().where("salesforce_synced_at is null").isEmpty()
+    # A receiver that answers short: the rest counts as failed.
+    short = sync_store(store, send_with(lambda payloads: [{"success": True, "id": "1"}]), NOW)
+    assert (short.summary["success"], short.summary["failed"]) == (1, 2)
