@@ -157,3 +157,12 @@ def test_text_keeps_whole_characters(spark):
 
 def test_passages_on_empty_table(spark):
     assert suffix_dedup.remove_repeats(fixtures.frame(spark, [])).collect() == []
+
+
+def test_words_hash_alike_wherever_they_stand(monkeypatch):
+    texts = [b"one two one", b"", b" \t", b"TWO one", b"x" * 5000 + b" one"]
+    whole, ends = near_dedup.word_hashes(texts)
+    monkeypatch.setattr(near_dedup, "_WORDS", 2)
+    parts, _ = near_dedup.word_hashes(texts)
+    assert whole.tolist() == parts.tolist() and ends.tolist() == [3, 3, 3, 5, 7]
+    assert whole[0] == whole[2] == whole[4] == whole[6] and whole[1] == whole[3] and len(set(whole.tolist())) == 3

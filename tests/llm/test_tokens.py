@@ -125,3 +125,17 @@ def test_packing_of_empty_table_and_given_lengths(spark):
     docs = fixtures.frame(spark, [(1, "x", "en", "s", 5), (2, None, None, None, None)])
     got = {r.doc_id: r.n_tokens for r in packing.pack(docs, length=F.col("n_chars")).collect()}
     assert got == {1: 5, 2: 0}
+
+
+def test_encoder_and_pre_tokens_on_random_texts(monkeypatch):
+    monkeypatch.setattr(token_files, "_REMEMBERED", 500)
+    encoder = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng = np.random.default_rng(5)
+    letters = list(" \n\t.,;!?'abÉé1２ ́<|#")
+    texts = ["".join(rng.choice(letters, rng.integers(0, 40))) for _ in range(3000)] + ODD
+    for text, ids in zip(texts, encoded("byte_bpe_50k.json", texts)):
+        assert encoder.encode(text) == np.array(ids, "<u2").tobytes()
+    for text, ids in zip(texts, encoded("word_bpe_49k.json", texts)):
+        parts = [p for p in token_counts.pre_tokens(text) if p]
+        assert sum(token_counts.piece_counts(parts, path)) == len(ids)
