@@ -58,11 +58,13 @@ def piece_counts(tokens: list[str], path: str) -> list[int]:
 
 
 def _packed(values: np.ndarray) -> bytes:
-    return zstandard.compress(values.tobytes(), 3)
+    """Small numbers: first all low bytes, then the next, which are mostly zero."""
+    return zstandard.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
 
 
-def _unpacked(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), kind)
+def _unpacked(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
 def _block_rows(block: int, buckets: int, ids: list, sizes: list[int], counts: list[Counter]) -> list[dict]:
@@ -82,10 +84,16 @@ def _block_rows(block: int, buckets: int, ids: list, sizes: list[int], counts: l
             place[token] = len(place)
         # Pre-tokens hold no line feed, so one can separate them.
         rows.append({"block": block, "bucket": bucket, "tokens": zstandard.compress("\n".join(tokens).encode(), 3)})
-    lengths = np.array([len(found) for found in counts], "<u4")
+    lengths = np.array([len(found) for found in counts], np.int64)
     total = int(lengths.sum())
-    where = np.fromiter((place[token] for found in counts for token in found), "<u4", total)
-    often = np.fromiter((n for found in counts for n in found.values()), "<u4", total)
+    where = np.fromiter((place[token] for found in counts for token in found), np.int64, total)
+    often = np.fromiter((n for found in counts for n in found.values()), np.int64, total)
+    # Places of a document in order, as steps from one to the next.
+    order = np.lexsort((where, np.repeat(np.arange(len(counts)), lengths)))
+    where, often = where[order], often[order]
+    steps = np.diff(where, prepend=0)
+    heads = (np.cumsum(lengths) - lengths)[lengths > 0]
+    steps[heads] = where[heads]
     rows.append(
         {
             "block": block,
@@ -93,7 +101,7 @@ def _block_rows(block: int, buckets: int, ids: list, sizes: list[int], counts: l
             "doc_ids": ids,
             "n_bytes": sizes,
             "lengths": _packed(lengths),
-            "places": _packed(where),
+            "steps": _packed(steps),
             "often": _packed(often),
         }
     )
@@ -131,7 +139,7 @@ def _count(path: str, schema: pa.Schema):
         for at in range(0, len(distinct), 20_000):
             part = distinct[at : at + 20_000]
             pieces.update(zip(part, piece_counts(part, path)))
-        out = [_packed(np.fromiter((pieces[t] for t in tokens), "<u4", len(tokens))) for tokens in lists]
+        out = [_packed(np.fromiter((pieces[t] for t in tokens), np.int64, len(tokens))) for tokens in lists]
         return pa.table([rows["block"], rows["bucket"], pa.array(out, pa.binary())], schema=schema)
 
     return count
@@ -140,13 +148,14 @@ def _count(path: str, schema: pa.Schema):
 def _sum(schema: pa.Schema):
     def add(postings: pa.Table, counts: pa.Table) -> pa.Table:
         ordered = sorted(zip(counts["bucket"].to_pylist(), counts["pieces"].to_pylist()))
-        pieces = np.concatenate([_unpacked(x, "<u4") for _, x in ordered] or [np.zeros(0, "<u4")]).astype(np.int64)
+        pieces = np.concatenate([_unpacked(x) for _, x in ordered] or [np.zeros(0, np.int64)])
         ids, sizes, totals = [], [], []
         for row in postings.to_pylist():
-            lengths = _unpacked(row["lengths"], "<u4").astype(np.int64)
-            each = pieces[_unpacked(row["places"], "<u4")] * _unpacked(row["often"], "<u4")
+            lengths = _unpacked(row["lengths"])
             ends = np.cumsum(lengths)
-            sums = np.concatenate([[0], np.cumsum(each)])
+            walked = np.concatenate([[0], np.cumsum(_unpacked(row["steps"]))])
+            places = walked[1:] - np.repeat(walked[ends - lengths], lengths)
+            sums = np.concatenate([[0], np.cumsum(pieces[places] * _unpacked(row["often"]))])
             totals.extend((sums[ends] - sums[ends - lengths]).tolist())
             ids.extend(row["doc_ids"])
             sizes.extend(row["n_bytes"])
@@ -175,7 +184,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
             T.StructField("doc_ids", T.ArrayType(id_type)),
             T.StructField("n_bytes", T.ArrayType(T.LongType())),
             T.StructField("lengths", T.BinaryType()),
-            T.StructField("places", T.BinaryType()),
+            T.StructField("steps", T.BinaryType()),
             T.StructField("often", T.BinaryType()),
         ]
     )
