@@ -31,8 +31,8 @@ from placeloom.session import scratch_path, shuffle_width
 
 # Ids of a shard, unless one document has more.
 SHARD_IDS = 1 << 19
-# Words whose ids a worker remembers; it forgets all when there are more.
-_REMEMBERED = 600_000
+# Words whose ids a worker remembers; with so many more, those not met since are forgotten.
+_REMEMBERED = 900_000
 _KEYS_PER_BUCKET = 4
 _SHARD = "part int, seq int, base long, n_ids long, n_docs int, n_null int, first long, last long, width int, keys binary, ends binary, displacements binary, fingerprints binary, slots binary, payload binary"  # noqa: E501
 
@@ -42,7 +42,8 @@ class Encoder:
 
     A byte-level pre-tokenizer starts a new piece at a space that follows a
     character other than white space, whatever comes before; so texts are cut there
-    and the ids of the parts joined give those of the text.
+    and the ids of the parts joined give those of the text. It also parts letters
+    from a mark that ends a word.
     """
 
     def __init__(self, path: str):
@@ -51,7 +52,11 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        # Ids of words after a space, now and of the last generation, and of first words.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.firsts: dict[str, bytes] = {}
+        self.marks = dict(zip(".,;:!?", self._ids(list(".,;:!?"))))
         self.blank_before_space = re.compile(r"\s ")
         self.cut = re.compile(r"(?<!\s) ")
 
@@ -64,19 +69,40 @@ class Encoder:
         if not text:
             return b""
         parts = self.cut.split(text) if self.blank_before_space.search(text) else text.split(" ")
-        first = self._ids([parts[0]])[0] if parts[0] else b""
-        rest = parts[1:]
+        head, rest = parts[0], parts[1:]
+        first = self.firsts.get(head)
+        if first is None:
+            if len(self.firsts) >= _REMEMBERED // 8:
+                self.firsts.clear()
+            first = self.firsts[head] = self._ids([head])[0] if head else b""
         known = self.known
         try:
             return first + b"".join([known[p] for p in rest])
         except KeyError:
-            new = [p for p in set(rest) if p not in known]
-            if len(known) + len(new) > _REMEMBERED:
-                known.clear()
-                new = list(set(rest))
-            known.update(zip(new, self._ids([" " + p for p in new])))
+            self._learn(set(rest))
+            known = self.known
             return first + b"".join([known[p] for p in rest])
 
+    def _learn(self, wanted: set[str]) -> None:
+        """Make sure that ``known`` holds the ids of all wanted words."""
+        if len(self.known) + len(wanted) > _REMEMBERED:
+            self.older, self.known = self.known, {}
+        known, older, marks = self.known, self.older, self.marks
+        new, marked = set(), []
+        for p in wanted.difference(known):
+            if p in older:
+                known[p] = older[p]
+            elif p[-1:] in marks and p[-2:-1].isalpha():
+                marked.append(p)
+                if p[:-1] not in known and p[:-1] not in older:
+                    new.add(p[:-1])
+            else:
+                new.add(p)
+        known.update(zip(new, self._ids([" " + p for p in new])))
+        for p in marked:
+            plain = p[:-1]
+            known[p] = (known[plain] if plain in known else older[plain]) + marks[p[-1]]
+
 
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> Encoder:
