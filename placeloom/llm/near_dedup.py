@@ -35,6 +35,7 @@ from placeloom.session import materialize
 # Text bytes worked on at a time, and nodes of a bucket compared at a time.
 _CHUNK_BYTES = 1 << 20
 _BLOCK_NODES = 1024
+_WORDS = 1 << 17
 _MASK = (1 << 64) - 1
 
 
@@ -73,21 +74,30 @@ _BLANK[[32, 9, 10, 11, 12, 13]] = True
 _POWERS: list[np.ndarray] = [_powers(_BASE, 2), _powers(_INVERSE, 2)]
 
 
+def _polynomials(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the words between the given places, of which the first is the lowest."""
+    low, high = int(starts[0]), int(ends[-1])
+    if len(_POWERS[0]) <= high - low:
+        _POWERS[:] = [_powers(_BASE, high - low + 1), _powers(_INVERSE, high - low + 1)]
+    with np.errstate(over="ignore"):
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum((data[low:high] + np.uint64(1)) * _POWERS[0][: high - low], out=sums[1:])
+        # The sum between two places, shifted to the front, is the word's polynomial.
+        return _mix((sums[ends - low] - sums[starts - low]) * _POWERS[1][starts - low] + (ends - starts).astype(np.uint64))
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words, A-Z lowered, and per text the end of its words."""
     # A blank after each text keeps words apart.
     data = np.frombuffer(b" ".join([*texts, b""]).lower(), np.uint8)
     lengths = np.array([len(t) + 1 for t in texts], np.int64)
-    if len(_POWERS[0]) < len(data) + 1:
-        _POWERS[:] = [_powers(_BASE, len(data) + 1), _powers(_INVERSE, len(data) + 1)]
     blank = np.concatenate([[True], _BLANK[data]])
     starts = np.flatnonzero(blank[:-1] & ~blank[1:])
     ends = np.flatnonzero(~blank[:-1] & blank[1:])
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data + np.uint64(1)) * _POWERS[0][: len(data)], out=sums[1:])
-        # The sum between two places, shifted to the front, is the word's polynomial.
-        hashes = _mix((sums[ends] - sums[starts]) * _POWERS[1][starts] + (ends - starts).astype(np.uint64))
+    hashes = np.zeros(len(starts), np.uint64)
+    # So many words at a time, however long the text.
+    for at in range(0, len(starts), _WORDS):
+        hashes[at : at + _WORDS] = _polynomials(data, starts[at : at + _WORDS], ends[at : at + _WORDS])
     return hashes, np.searchsorted(starts, np.cumsum(lengths))
 
 
@@ -202,8 +212,7 @@ def _confirm(rules: MinHash):
                 if (one == two).mean() < least:
                     continue
                 a, b = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in (4, 5))
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                if 100 * both >= rules.threshold * (len(a) + len(b) - both):
+                if _linked(a, b, rules):
                     linked.append(k)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([left[k] for k in linked], pa.int64()), pa.array([right[k] for k in linked], pa.int64())],
@@ -233,10 +242,16 @@ def _band_keys(signature: Column, rules: MinHash) -> Column:
     )
 
 
+_TILE = ["key", "kind", "low", "high"]
+_TILE_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+
+
 def _across(rules: MinHash):
     """Pairs of a tile whose signatures may mean a link and whose components differ.
 
-    A pair that shares several buckets is tried in the first of its bands only.
+    A pair that shares several buckets is tried in the first of its bands only. A
+    tile gives one row per node in such a pair, the first one with all the pairs: so
+    rows do not grow with the pairs.
     """
     least = rules.threshold / 100 - rules.slack
     width = rules.bands * rules.rows
@@ -245,7 +260,7 @@ def _across(rules: MinHash):
         nodes, parts, sides, bands = (rows[c].to_numpy() for c in ("node", "component", "side", "band"))
         signed = np.frombuffer(b"".join(x.as_py() for x in rows["signature"]), "<u4").reshape(-1, width)
         first, second = np.flatnonzero(sides != 1), np.flatnonzero(sides != 0)
-        u, v = [], []
+        pairs = []
         for i in first.tolist():
             # A block against itself (side 2) takes each pair once.
             others = second[second > i] if sides[i] == 2 else second
@@ -253,20 +268,52 @@ def _across(rules: MinHash):
             for at in range(0, len(others), 256):
                 some = others[at : at + 256]
                 equal = signed[some] == signed[i]
-                hits = some[equal.mean(axis=1) >= least]
-                for j in hits.tolist():
-                    shared = (signed[i] == signed[j]).reshape(rules.bands, rules.rows).all(axis=1)
-                    if shared[: bands[i]].any():
-                        continue
-                    u.append(int(nodes[i]))
-                    v.append(int(nodes[j]))
-        return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+                hits = equal.mean(axis=1) >= least
+                some, equal = some[hits], equal[hits]
+                shared = equal.reshape(len(some), rules.bands, rules.rows).all(axis=2)
+                some = some[~shared[:, : bands[i]].any(axis=1)]
+                pairs.append(np.stack([np.full(len(some), nodes[i]), nodes[some]], axis=1))
+        pairs = np.concatenate([*pairs, np.zeros((0, 2))]).astype("<i8")
+        involved = np.unique(pairs)
+        lists = [pairs.tobytes()] + [None] * (len(involved) - 1) if len(involved) else []
+        tile = [pa.array([rows[c][0].as_py()] * len(involved), t) for c, t in zip(_TILE, _TILE_TYPES)]
+        return pa.table([*tile, pa.array(involved, pa.int64()), pa.array(lists, pa.binary())], names=[*_TILE, "node", "pairs"])
 
     return across
 
 
+def _confirm_tile(rules: MinHash):
+    """The pairs of a tile that are links by their full sets."""
+
+    def confirm(rows: pa.Table) -> pa.Table:
+        sets: dict[int, list[np.ndarray]] = {}
+        for node, members in zip(rows["node"].to_pylist(), rows["members"]):
+            sets.setdefault(node, []).append(np.frombuffer(members.as_buffer(), np.uint64))
+        lists = {x for x in rows["pairs"].to_pylist() if x}
+        u, v = [], []
+        for pairs in lists:
+            for one, two in np.frombuffer(pairs, "<i8").reshape(-1, 2).tolist():
+                if any(_linked(a, b, rules) for a in sets[one] for b in sets[two]):
+                    u.append(one)
+                    v.append(two)
+        return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return confirm
+
+
+def _linked(a: np.ndarray, b: np.ndarray, rules: MinHash) -> bool:
+    if len(a) > len(b):
+        a, b = b, a
+    # Sizes too far apart rule a link out.
+    if 100 * len(a) < rules.threshold * len(b):
+        return False
+    at = np.searchsorted(b, a)
+    both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return 100 * both >= rules.threshold * (len(a) + len(b) - both)
+
+
 def _residual(members: DataFrame, labels: DataFrame, nodes: DataFrame, rules: MinHash) -> DataFrame:
-    """Pairs (u, v) of different components that share a bucket and may be linked."""
+    """The links (u, v) between different components among nodes that share a bucket."""
     labelled = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sized = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
     open_keys = sized.groupBy("key").agg(
@@ -297,7 +344,11 @@ def _residual(members: DataFrame, labels: DataFrame, nodes: DataFrame, rules: Mi
         "key", "band", "node", "component", F.explode(F.when(F.col("minor"), of_minor).otherwise(of_main)).alias("tile")
     ).select("key", "band", "node", "component", "tile.*")
     signed = tiled.join(nodes.select("node", "signature"), "node")
-    return signed.groupBy("key", "kind", "low", "high").applyInArrow(_across(rules), "u long, v long")
+    hopeful = signed.groupBy(*_TILE).applyInArrow(
+        _across(rules), "key long, kind int, low int, high int, node long, pairs binary"
+    )
+    with_sets = hopeful.join(nodes.select("node", "members"), "node")
+    return with_sets.groupBy(*_TILE).applyInArrow(_confirm_tile(rules), "u long, v long")
 
 
 def near_duplicates(
@@ -350,8 +401,7 @@ def near_duplicates(
     links = links.unionByName(materialize(_links(again, nodes, rules), "hub-links"))
     labels = components(links)
 
-    rest = _residual(members.select("key", "band", "node"), labels, nodes, rules)
-    late = materialize(_links(rest, nodes, rules), "late-links")
+    late = materialize(_residual(members.select("key", "band", "node"), labels, nodes, rules), "late-links")
     if late.isEmpty():
         found = labels
     else:
