@@ -6,6 +6,7 @@ read again as the next one's docs. All but the last return the columns of docume
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sequences of all documents, packed into batches.
+    """The sequences of all documents, packed into batches by their words.
 
     A document without words takes no place: its batch is null. An empty table
     packs to an empty one.
@@ -67,6 +68,11 @@ def batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
+def token_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As ``batches``, by the tokens of the tokenizer whose counts op3 gives."""
+    return packing.pack_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 STAGES = [
     ("quality rules", rules),
     ("near duplicates", near_duplicates),
@@ -74,14 +80,16 @@ STAGES = [
     ("benchmark leaks", leaks),
     ("packing", batches),
 ]
+# The same with sequences and batches in tokens.
+TOKEN_STAGES = [*STAGES[:-1], ("packing", token_batches)]
 
 # Connected components and byte spans over intermediate results: see tests/llm.
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, stages: list = STAGES) -> DataFrame:
     """Apply all stages to the documents."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    for name, stage in stages[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return stages[-1][1](spark, docs, sf_dir)

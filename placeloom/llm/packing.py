@@ -17,8 +17,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placeloom.llm import token_counts
 from placeloom.llm.words import words
 from placeloom.operators.numbering import number_rows
+from placeloom.session import materialize
 
 
 @dataclass(frozen=True)
@@ -79,8 +81,8 @@ def pack(
 ) -> DataFrame:
     """One row per sequence: doc_id, piece, n_tokens, padded, batch, slot.
 
-    ``length`` gives the tokens of a document; by default its words are counted. A
-    document without tokens (null or empty text) is one sequence of length 0 that
+    ``length`` gives the tokens of a document; by default its words are counted, which
+    are fewer than its tokens: ``pack_tokens`` counts these. A document without tokens (null or empty text) is one sequence of length 0 that
     takes no place: its padded, batch and slot are null. Sequences with the same id
     (repeated rows, null ids) are packed each on its own. An empty table packs to an
     empty one. Other columns are not read.
@@ -117,3 +119,16 @@ def pack(
         (F.col("_offset") + F.floor(F.col("_rank") / F.col("_fits"))).alias("batch"),
         F.pmod(F.col("_rank"), F.col("_fits")).cast("int").alias("slot"),
     )
+
+
+def pack_tokens(
+    docs: DataFrame, tokenizer: str, packing: Packing = Packing(), doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``pack`` by the pieces of a tokenizer, so that all limits are in its tokens.
+
+    ``tokenizer`` is a path as for ``token_counts.count_tokens``. A text of one very
+    long word is cut like any other.
+    """
+    counted = token_counts.count_tokens(docs, tokenizer, doc_id, text).select("doc_id", "n_tokens")
+    # Written once: the range partitioning reads its input twice.
+    return pack(materialize(counted, "token-lengths"), packing, F.col("n_tokens"))

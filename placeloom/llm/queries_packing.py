@@ -1,7 +1,8 @@
-"""Packing: the query and its SQL."""
+"""Packing: the queries, and the SQL of the one that counts words."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from placeloom.llm import packing
@@ -66,3 +67,8 @@ FROM ranked
 @query("op5_packing", OP5_SQL)
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op5_token_packing")
+def op5_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

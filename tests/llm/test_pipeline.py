@@ -2,8 +2,9 @@
 
 import corpus_pipeline
 import fixtures
+import public_tokenizers
 import test_dedup
-from placeloom.llm import packing, quality_rules
+from placeloom.llm import packing, quality_rules, token_counts
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,3 +64,13 @@ def test_stages_on_odd_and_empty_documents(spark):
         # Each stage alone, on all rows: none but the rules and the copies are dropped.
         assert corpus_pipeline.passages(spark, docs, SF).count() == docs.count()
         assert corpus_pipeline.leaks(spark, docs, SF).count() == docs.count()
+
+
+def test_packing_stage_in_tokens(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    name, stage = corpus_pipeline.TOKEN_STAGES[-1]
+    assert name == "packing" and corpus_pipeline.TOKEN_STAGES[:-1] == corpus_pipeline.STAGES[:-1]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    want = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, path).collect()}
+    got = stage(spark, docs, SF).groupBy("doc_id").agg({"n_tokens": "sum"})
+    assert {r.doc_id: r[1] for r in got.collect()} == want

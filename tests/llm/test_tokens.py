@@ -139,3 +139,28 @@ def test_encoder_and_pre_tokens_on_random_texts(monkeypatch):
     for text, ids in zip(texts, encoded("word_bpe_49k.json", texts)):
         parts = [p for p in token_counts.pre_tokens(text) if p]
         assert sum(token_counts.piece_counts(parts, path)) == len(ids)
+
+
+def test_token_packing_by_brute_force(spark):
+    """Pieces, paddings and places of sequences, in tokens of the library; long words are cut."""
+    rules = packing.Packing(max_tokens=64, step=8, buckets=4, budget=256)
+    rows = documents() + [(2000, "abc123" * 2000), (2001, "日本語のテキスト" * 500)]
+    docs = fixtures.with_clashes(fixtures.frame(spark, [(i, t, "en", "s", 1) for i, t in rows])).repartition(3)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    got = [tuple(r) for r in packing.pack_tokens(docs, path, rules).collect()]
+    cut = []
+    for (i, _), ids in zip(rows, encoded("word_bpe_49k.json", [t for _, t in rows])):
+        cut += [(i, k, min(64, len(ids) - 64 * k)) for k in range(max(1, -(-len(ids) // 64)))]
+    cut.sort(key=lambda s: (-(-s[2] // 8), s[0] is not None, s[0] or 0, s[1], s[2]))
+    bins = sorted({-(-n // 8) for *_, n in cut if n})
+    choices = [(*c, bins[-1]) for c in itertools.combinations(bins[:-1], min(4, len(bins)) - 1)]
+    ends = min(choices, key=lambda c: (sum(min(e for e in c if 8 * e >= n) for *_, n in cut if n), c))
+    want, batch, slot, last = [(*s, None, None, None) for s in cut if not s[2]], -1, 0, 0
+    for i, k, n in (s for s in cut if s[2]):
+        width = 8 * min(e for e in ends if 8 * e >= n)
+        batch, slot = (batch, slot + 1) if width == last and slot + 1 < 256 // width else (batch + 1, 0)
+        want.append((i, k, n, width, batch, slot))
+        last = width
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert max(k for i, k, *_ in got if i == 2000) > 10 and max(k for i, k, *_ in got if i == 2001) > 5
+    assert packing.pack_tokens(docs.limit(0), path, rules).collect() == []
