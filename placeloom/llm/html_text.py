@@ -3,8 +3,9 @@
 Every block element of a page is a node. Its density is its characters per tag,
 scaled down the more of its characters are in links, relative to the page (composite
 text density). A node's score is the sum of its children's densities, and the node
-with the largest score is the root of the article. The densities on the path from the
-body to it set the threshold for parts beside it. Elements that never hold the
+with the largest score is the root of the article. The least text density (characters
+per tag) on the path from the body to it is the threshold for parts beside it; those
+that are mostly links stay out. Elements that never hold the
 article (navigation, forms, asides, ...) are cut off before.
 
 The parser is a tolerant tokenizer with the implied end tags that matter for blocks.
@@ -75,6 +76,9 @@ _CLOSES = {
 _P_BOUNDS = {"td", "th", "table", "caption", "button", "object", "html"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
+# A part with a larger share of its characters in links is no article text.
+_LINK_SHARE = 0.5
+
 
 class _Node:
     __slots__ = ("tag", "parent", "children", "chars", "links", "tags", "link_tags", "density", "score")
@@ -249,10 +253,15 @@ def main_text(page: str | None) -> str:
     if marked:
         inside = marked[-1]
         return "\n".join(text for node, text in blocks if _within(node, inside))
-    # Halfway from the thinnest node on the path to the body up to the article itself.
-    threshold = (best.density + min(node.density for node in path)) / 2
+    # Links count by their share alone: as a factor they would press the threshold below any text.
+    threshold = min(_thickness(node) for node in path)
     above = {id(node) for node in path[1:]}
-    chosen = {id(node) for node in order if node is best or (node.density >= threshold and id(node) not in above)}
+    chosen = {
+        id(node)
+        for node in order
+        if node is best
+        or (id(node) not in above and node.links <= _LINK_SHARE * node.chars and _thickness(node) >= threshold)
+    }
     kept = [_under(node, chosen) for node, _ in blocks]
     # A heading belongs to the text that follows it.
     for k in range(len(blocks) - 2, -1, -1):
@@ -261,6 +270,10 @@ def main_text(page: str | None) -> str:
     return "\n".join(text for (_, text), keep in zip(blocks, kept) if keep)
 
 
+def _thickness(node: _Node) -> float:
+    return node.chars / max(node.tags, 1)
+
+
 def _under(node: _Node | None, tops: set[int]) -> bool:
     while node is not None:
         if id(node) in tops:

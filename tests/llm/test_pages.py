@@ -39,6 +39,28 @@ def test_densest_part_without_marks():
     assert html_text.main_text(page) == want
 
 
+def paragraphs(mark, count, size, link=""):
+    return "".join(f"<p>{mark}{k} {link}{'x' * (size - len(mark) - len(str(k)))}</p>" for k in range(count))
+
+
+@pytest.mark.parametrize("link", ["", "<a href=/n>inline</a>"])
+@pytest.mark.parametrize("menu", ["", "<ul>" + "".join(f"<li><a href=/{k}>Topic number {k}</a>" for k in range(15)) + "</ul>"])
+def test_article_in_unmarked_sections(menu, link):
+    """Sections beside the densest one stay; lists of links and thin parts go."""
+    sections = [paragraphs("a", 10, 500), "<h2>Next</h2>" + paragraphs("b", 5, 420, link), paragraphs("c", 4, 400)]
+    teasers = "".join(f"<p><a href=/t{k}>teaser {'y' * 600}</a></p>" for k in range(3))
+    body = "".join(f"<div>{x}</div>" for x in sections)
+    got = html_text.main_text(f"<html><body>{menu}<div>{body}</div><div>{teasers}</div><div>Imprint</div></body>")
+    marks = [line[:2] if line != "Next" else line for line in got.split("\n")]
+    assert marks == [f"a{k}" for k in range(10)] + ["Next"] + [f"b{k}" for k in range(5)] + [f"c{k}" for k in range(4)]
+
+
+def test_two_unmarked_sections_by_hand():
+    """Path minimum 368, second section 400."""
+    page = f"<html><body><div><div>{paragraphs('a', 10, 500)}</div><div>{paragraphs('b', 5, 400)}</div></div></body>"
+    assert html_text.main_text(page).count("\n") == 14
+
+
 def test_long_and_deep_pages():
     assert len(html_text.main_text("<div>" * 5000 + "x" + "</div>" * 5000)) == 1
     many = "".join(f"<p>{k}</p>" for k in range(20000))
