@@ -5,7 +5,8 @@ scaled down the more of its characters are in links, relative to the page (compo
 text density). A node's score is the sum of its children's densities, and the node
 with the largest score is the root of the article. The least text density (characters
 per tag) on the path from the body to it is the threshold for parts beside it; those
-that are mostly links stay out. Elements that never hold the
+that are mostly links stay out. Marked-up text (article, main) bounds the choice; its
+innermost article stays whole. Elements that never hold the
 article (navigation, forms, asides, ...) are cut off before.
 
 The parser is a tolerant tokenizer with the implied end tags that matter for blocks.
@@ -248,21 +249,29 @@ def main_text(page: str | None) -> str:
     path = [best]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-    # A marked-up article is taken whole, whatever part of it scores best.
+    # Marked-up text bounds the choice, and its innermost article is taken whole.
     marked = [node for node in path if node.tag in ("article", "main")]
+    whole, first = best, None
     if marked:
-        inside = marked[-1]
-        return "\n".join(text for node, text in blocks if _within(node, inside))
+        whole = next((node for node in marked if node.tag == "article"), marked[0])
+        blocks = [block for block in blocks if _within(block[0], marked[-1])]
+        first = next(k for k, (node, _) in enumerate(blocks) if _within(node, whole))
     # Links count by their share alone: as a factor they would press the threshold below any text.
-    threshold = min(_thickness(node) for node in path)
-    above = {id(node) for node in path[1:]}
+    top = marked[-1] if marked else path[-1]
+    threshold = min(_thickness(node) for node in path[: path.index(top) + 1])
+    above = {id(node) for node in path[path.index(whole) + 1 :]}
     chosen = {
         id(node)
         for node in order
-        if node is best
+        if node is whole
         or (id(node) not in above and node.links <= _LINK_SHARE * node.chars and _thickness(node) >= threshold)
     }
-    kept = [_under(node, chosen) for node, _ in blocks]
+    # Loose text between the parts on the path is held against the same threshold.
+    loose = {id(node) for node in path if id(node) in above and _own_links(node) <= _LINK_SHARE}
+    kept = [_under(node, chosen) or (id(node) in loose and len(text) >= threshold) for node, text in blocks]
+    # Titles above the article are its own.
+    for k in range(first or 0):
+        kept[k] = kept[k] or blocks[k][0].tag in _HEADINGS
     # A heading belongs to the text that follows it.
     for k in range(len(blocks) - 2, -1, -1):
         if not kept[k] and blocks[k][0].tag in _HEADINGS and kept[k + 1]:
@@ -274,6 +283,11 @@ def _thickness(node: _Node) -> float:
     return node.chars / max(node.tags, 1)
 
 
+def _own_links(node: _Node) -> float:
+    chars = node.chars - sum(child.chars for child in node.children)
+    return (node.links - sum(child.links for child in node.children)) / max(chars, 1)
+
+
 def _under(node: _Node | None, tops: set[int]) -> bool:
     while node is not None:
         if id(node) in tops:

@@ -61,6 +61,15 @@ def test_two_unmarked_sections_by_hand():
     assert html_text.main_text(page).count("\n") == 14
 
 
+def test_innermost_article_without_teasers():
+    teasers = "".join(f"<div><h3>More</h3><p>teaser {k}</p></div>" for k in range(4))
+    article = f"<article><p>Lead</p><div>{paragraphs('a', 6, 300)}</div></article>"
+    second = f"<section>{paragraphs('s', 3, 300)}</section>"
+    got = html_text.main_text(f"<main><h1>Title</h1>loose {'x' * 200}{article}{second}<div>{teasers}</div></main><p>{'z' * 900}</p>")
+    want = ["Title", "l", "Lead", *["a"] * 6, *["s"] * 3]
+    assert [line[:1] if "x" in line else line for line in got.split("\n")] == want
+
+
 def test_long_and_deep_pages():
     assert len(html_text.main_text("<div>" * 5000 + "x" + "</div>" * 5000)) == 1
     many = "".join(f"<p>{k}</p>" for k in range(20000))
