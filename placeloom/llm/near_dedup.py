@@ -176,8 +176,9 @@ def _sign(rules: MinHash):
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_key(s) for s in sets], pa.binary()),
                     pa.array([by_row[k].tobytes() if k in by_row else None for k in range(len(sets))], pa.binary()),
+                    rows.column(2),
                 ],
-                names=["doc_id", "n_shingles", "set_key", "signature"],
+                names=["doc_id", "n_shingles", "set_key", "signature", "text_key"],
             )
 
     return sign
@@ -364,10 +365,23 @@ def near_duplicates(
     its texts is like when the id is the smallest of that text. An empty table gives an empty one; other columns are not
     read.
     """
-    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    return _judged(docs, rules, doc_id, text).drop("text_key")
+
+
+def _body(text: str) -> Column:
+    return F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+
+
+def _judged(docs: DataFrame, rules: MinHash, doc_id: str, text: str) -> DataFrame:
+    """``near_duplicates`` with the hash of each row's text, text_key."""
+    body = _body(text)
     named = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), body.alias("text"))
+    keyed = named.withColumn("text_key", F.xxhash64("text"))
     signed = materialize(
-        named.mapInArrow(_sign(rules), "doc_id long, n_shingles long, set_key binary, signature binary"), "signatures"
+        keyed.mapInArrow(
+            _sign(rules), "doc_id long, n_shingles long, set_key binary, signature binary, text_key long"
+        ),
+        "signatures",
     )
     filled = signed.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
     # Equal sets have equal signatures, so that of the smallest id stands for all.
@@ -419,12 +433,19 @@ def near_duplicates(
             "n_shingles",
             own.alias("component_id"),
             F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"),
+            "text_key",
         )
     )
 
 
 def deduplicate(docs: DataFrame, rules: MinHash = MinHash(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each group, that with the smallest id; all columns stay."""
-    judged = near_duplicates(docs, rules, doc_id, text)
-    dropped = materialize(judged.where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
-    return docs.join(small_side(dropped), F.col(f"`{doc_id}`") == F.col("_dropped"), "left_anti")
+    """``docs`` with one document of each group, that with the smallest id; all columns stay.
+
+    Rows are told apart by id and text: where an id repeats with other texts, each
+    goes or stays on its own. Rows that repeat both are judged alike.
+    """
+    dropped = _judged(docs, rules, doc_id, text).where(~F.col("kept"))
+    dropped = dropped.select(F.col("doc_id").alias("_dropped"), F.col("text_key").alias("_dropped_text")).distinct()
+    dropped = materialize(dropped, "dropped")
+    same = (F.col(f"`{doc_id}`") == F.col("_dropped")) & (F.xxhash64(_body(text)) == F.col("_dropped_text"))
+    return docs.join(small_side(dropped), same, "left_anti")

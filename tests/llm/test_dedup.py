@@ -80,6 +80,13 @@ def test_repeated_rows_and_ids(spark):
     assert sorted(r.doc_id for r in left.collect()) == [5, 5, 7, 7] and left.columns == docs.columns
 
 
+def test_other_text_of_a_dropped_id_stays(spark):
+    one, two = fixtures.prose(34, 80), fixtures.prose(35, 80)
+    docs = fixtures.frame(spark, [(i, t, "en", "s", 1) for i, t in [(3, two), (7, one), (7, two)]])
+    left = near_dedup.deduplicate(fixtures.with_clashes(docs))
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == sorted([(3, two), (7, one)])
+
+
 def test_near_duplicates_on_empty_table(spark):
     assert near_dedup.near_duplicates(fixtures.frame(spark, [])).collect() == []
 
