@@ -17,6 +17,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placeloom.session import scratch_path
+
 # A small labelled table, for use where no own one is given: hosts and paths of the
 # kind that URL filters for text corpora reject, and ordinary ones.
 _REJECTED = """
@@ -108,15 +110,22 @@ def features(urls: DataFrame, host: Column, path: Column, model: UrlModel) -> Da
 
 
 def train(labelled: DataFrame, model: UrlModel = UrlModel()) -> LogisticRegressionModel:
-    """Fit on a small table of url and label (1 rejects); null labels are left out."""
+    """Fit on a small table of url and label (1 rejects); null labels are left out.
+
+    The model is written to the shared folder and loaded back: a fitted one keeps its
+    training summary and with it the session, which cannot be sent to executors.
+    """
     rows = labelled.where(F.col("label").isNotNull()).select("url", F.col("label").cast("double").alias("label"))
     rows = features(rows, host_of(F.col("url")), path_of(F.col("url")), model).coalesce(1).cache()
     try:
-        return LogisticRegression(
+        fitted = LogisticRegression(
             featuresCol="_url_features", labelCol="label", regParam=model.ridge, maxIter=60
         ).fit(rows)
     finally:
         rows.unpersist()
+    path = scratch_path(labelled.sparkSession, "url-model")
+    fitted.write().save(path)
+    return LogisticRegressionModel.load(path)
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:

@@ -4,6 +4,8 @@ import fixtures
 import numpy as np
 import pytest
 from placeloom.llm import html_text, quality_model, url_filter
+from placeloom.session import materialize_with
+from pyspark.sql import functions as F
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
@@ -127,6 +129,14 @@ def test_url_model_scores_by_hand(spark, fitted):
     assert [judged[u].verdict for u in sorted(judged)] == ["block", "allow"]
 
 
+def test_url_model_after_an_observation(spark, fitted):
+    """A session that has observed a write keeps objects that cannot be sent to executors."""
+    materialize_with(spark.range(3), "seen", n=F.count(F.lit(1)))
+    own = url_filter.train(url_filter.default_labels(spark))
+    urls = spark.createDataFrame([("http://casino.example.com/en/1",)], "url string")
+    assert [r.verdict for r in url_filter.judge(urls, own, []).collect()] == ["block"]
+
+
 def test_url_model_on_unseen_hosts(spark, fitted):
     bad = ["mega-casino.example.com", "pills-cheap.example.org", "www.adult-zone.example.com", "bets-free.example.org"]
     good = ["www.rowing.example.com", "blog.letters.example.org", "m.hills.example.com", "archive.example.org"]
