@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from placeloom.llm import (  # noqa: F401  (importing registers the queries)
+    queries_clusters,
     queries_codec,
     queries_dedup,
     queries_leaks,
