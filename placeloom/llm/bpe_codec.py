@@ -22,15 +22,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from placeloom.llm.bpe_pairs import pairs_of, tokenizer_of
 
 # Chunks whose ids a worker keeps; with so many more, those not met since are forgotten.
-_REMEMBERED = 400_000
+_REMEMBERED = 200_000
 # Text bytes that are encoded together, and bytes of a batch that a task hands on.
-_TOGETHER = 4 << 20
+_TOGETHER = 1 << 20
 _BLANK = re.compile(r"\s")
 _OTHER_BLANK = re.compile(r"[^\S ]")
 
 
 class Codec:
-    """Encodes and decodes as the tokenizers library does with the file at ``path``."""
+    """Encodes as the tokenizers library does with the file at ``path``."""
 
     def __init__(self, path: str):
         self.pairs, self.tokenizer = pairs_of(path), tokenizer_of(path)
@@ -40,15 +40,11 @@ class Codec:
             raise ValueError("added tokens that look beyond their own string are not supported")
         if self.tokenizer.pre_tokenizer.pre_tokenize_str("a b \n c") != [("a", (0, 1)), ("b", (2, 3)), ("c", (6, 7))]:
             raise ValueError("only a pre-tokenizer that leaves out white space is supported")
-        if self.tokenizer.decoder is not None:
-            raise ValueError("only a tokenizer without a decoder is supported")
         self.special = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added}
         longest = sorted(self.special, key=len, reverse=True)
         self.special_at = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        names = {number: token for token, number in self.tokenizer.get_vocab(with_added_tokens=True).items()}
-        self.names = np.array([names.get(k, "") for k in range(max(names) + 1)], object)
 
     def _pieces(self, chunks: list[str]) -> tuple[list[str], list[int]]:
         """The words of all chunks, as byte-level letters, and how many each chunk has."""
@@ -112,11 +108,19 @@ class Codec:
         known = self.known
         return [b"".join([known[c] for c in chunks]) for chunks in cut]
 
+
+class Decoder:
+    """The tokens of ids joined by a space, as the library does where the file names no decoder."""
+
+    def __init__(self, path: str):
+        tokenizer = tokenizer_of(path)
+        if tokenizer.decoder is not None:
+            raise ValueError("only a tokenizer without a decoder is supported")
+        names = {number: token for token, number in tokenizer.get_vocab(with_added_tokens=True).items()}
+        self.names = np.array([names.get(k, "") for k in range(max(names) + 1)], object)
+
     def decode(self, ids: bytes) -> str:
-        """The tokens joined by a space, as the library does where the file names no decoder."""
         numbers = np.frombuffer(ids, "<u4")
-        if not len(numbers):
-            return ""
         numbers = numbers[numbers < len(self.names)]
         return " ".join([name for name in self.names[numbers].tolist() if name])
 
@@ -126,6 +130,11 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 def _groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
     """Consecutive rows whose sizes add up to at most ``_TOGETHER``, one row at least."""
     start, filled = 0, 0
@@ -139,7 +148,7 @@ def _groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
 
 
 def _mapped(df: DataFrame, column: str, convert, out: T.StructField) -> DataFrame:
-    """``df`` with ``convert`` of one column's values, a few megabytes at a time, as column ``out``."""
+    """``df`` with ``convert`` of one column's values, a megabyte at a time, as column ``out``."""
     kept = [c for c in df.columns if c.lower() != out.name.lower()]
     name = "_value"
     while name in (c.lower() for c in df.columns):
@@ -182,7 +191,7 @@ def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids", text: str = "de
     out. Repeated rows, empty tables and clashing names as in ``encode``.
     """
     def convert(values: list) -> list[str]:
-        own = codec(tokenizer)
+        own = decoder(tokenizer)
         return [own.decode(v or b"") for v in values]
 
     return _mapped(encoded, ids, convert, T.StructField(text, T.StringType()))
