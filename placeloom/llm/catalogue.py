@@ -11,6 +11,7 @@ from placeloom.llm import (  # noqa: F401  (importing registers the queries)
     queries_pages,
     queries_quality,
     queries_rules,
+    queries_search,
     queries_tokens,
     queries_urls,
 )
