@@ -59,6 +59,15 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(location)
 
 
+def list_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly below ``path``; none if it does not exist."""
+    if not path_exists(spark, path):
+        return []
+    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(location)
+    return [f.getPath().getName() for f in found if f.isDirectory()]
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch file or folder that no table reads any more."""
     location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -34,7 +34,7 @@ def send_to(table: TargetTable) -> Callable[[DataFrame], DataFrame]:
     """A delivery into a keyed table: the answer tells whether the key was new."""
 
     def deliver(batches: DataFrame) -> DataFrame:
-        key = table.table.key
+        key = table.key
         there = table.read().select(key, F.lit(True).alias("_there"))
         answers = batches.join(there, key, "left").select(
             "batch_id",
@@ -45,7 +45,7 @@ def send_to(table: TargetTable) -> Callable[[DataFrame], DataFrame]:
             F.lit(None).cast("string").alias("errors"),
         )
         answers = materialize(answers, "delivered")  # before the table changes
-        table.upsert(batches.select(*table.table.schema.fieldNames()))
+        table.upsert(batches.select(*table.schema.fieldNames()))
         return answers
 
     return deliver

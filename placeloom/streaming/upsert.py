@@ -21,18 +21,23 @@ def stream_payloads(spark: SparkSession, path: str, files_per_batch: int = 1000)
     return normalize_payload(landed)
 
 
+def checkpoint_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a stream writes into its checkpoint when it is first started."""
+    return spark.read.schema("id string").json(f"{checkpoint}/metadata").first().id
+
+
 def start_upsert(
     observations: DataFrame, store: PlaceStore, checkpoint: str, once: bool = True
 ) -> StreamingQuery:
     """Fold every micro-batch into the store.
 
     The store is the only state, so no watermark is needed: a late row loses to
-    newer values by its (seen_at, ingest_seq), and a batch replayed after a
-    failure folds to the same snapshot.
+    newer values by its (seen_at, ingest_seq).  A micro-batch is added under the
+    checkpoint's own id and its number, so one replayed after a failure adds nothing.
     """
 
     def fold_batch(batch: DataFrame, batch_id: int) -> None:
-        store.upsert(batch)
+        store.upsert(batch, f"{checkpoint_id(batch.sparkSession, checkpoint)}-{batch_id}")
 
     writer = observations.writeStream.foreachBatch(fold_batch).option(
         "checkpointLocation", checkpoint

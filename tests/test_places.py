@@ -199,6 +199,73 @@ def test_unknown_ids_and_replays_after_a_prune(spark, tmp_path):
     assert by_id(store.places())["a"].name == "Seen again"
 
 
+def parquet_bytes(folder):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names if f.endswith(".parquet"))
+
+
+def test_small_batches_are_cheap_and_replays_add_nothing(spark, tmp_path):
+    """What a batch writes follows the batch; a compaction is a job of its own."""
+    path = str(tmp_path / "places")
+    store = PlaceStore(spark, path, buckets=3)
+    big = spark.range(5000).select(F.concat(F.lit("p"), "id").alias("place_id"))
+    columns = [f for f in OBSERVATION.fields if f.name not in ("place_id", "seen_at", "ingest_seq")]
+    big = big.select(
+        "place_id", *[F.sha2(F.col("place_id"), 256).cast(f.dataType).alias(f.name) if f.dataType.simpleString() == "string"
+                      else F.lit(None).cast(f.dataType).alias(f.name) for f in columns],
+        F.lit(NOW).alias("seen_at"), F.lit(1).cast("bigint").alias("ingest_seq"),
+    )
+    assert store.upsert(big, "first")
+    whole = parquet_bytes(path)
+    few = spark.createDataFrame([observation(f"p{k}", 5, name="new") for k in range(3)], OBSERVATION)
+    assert store.upsert(few, "second")
+    assert parquet_bytes(path) - whole < 0.05 * whole
+    files = {n: os.listdir(tmp_path / "places" / n) for n in os.listdir(tmp_path / "places")}
+    assert not store.upsert(few, "second")
+    assert {n: os.listdir(tmp_path / "places" / n) for n in os.listdir(tmp_path / "places")} == files
+    before = sorted(map(repr, store.places().collect()))
+    assert store.compact() == 2 and store.compact() == 1
+    assert sorted(map(repr, store.places().collect())) == before
+    # Names outlive the compaction, and later batches fold onto its rows.
+    assert not store.upsert(few, "second") and not store.upsert(big, "first")
+    store.upsert(spark.createDataFrame([observation("p1", 9, name="newer"), observation("q", 9)], OBSERVATION))
+    got = by_id(store.places())
+    assert (got["p1"].name, got["p0"].name, len(got)) == ("newer", "new", 5001)
+    assert got["p4"].name == by_id(spark.createDataFrame([("p4",)], "place_id string").select("place_id", F.sha2("place_id", 256).alias("name")))["p4"].name
+    assert store.compact() == 2 and store.count() == 5001
+
+
+def test_compaction_stopped_half_way_and_half_written_batches(spark, tmp_path):
+    path = tmp_path / "places"
+    store = PlaceStore(spark, str(path))
+    store.upsert(spark.createDataFrame(ROWS[:2], OBSERVATION), "a")
+    store.upsert(spark.createDataFrame(ROWS[2:], OBSERVATION), "b")
+    kept = {n: {f: (path / n / f).read_bytes() for f in os.listdir(path / n)} for n in ("batch=a", "batch=b")}
+    want = sorted(map(repr, store.places().collect()))
+    store.compact()
+    for name, files in kept.items():  # as if it had ended before it removed them
+        (path / name).mkdir()
+        for file, content in files.items():
+            (path / name / file).write_bytes(content)
+    assert sorted(map(repr, store.places().collect())) == want
+    store.compact()
+    assert sorted(map(repr, store.places().collect())) == want
+    # A folder without its end mark is not read, and its batch is written anew.
+    (path / "batch=c").mkdir()
+    (path / "batch=c" / "part-0.parquet").write_bytes(kept["batch=a"][next(f for f in kept["batch=a"] if f.endswith(".parquet") and not f.startswith("."))])
+    assert sorted(map(repr, store.places().collect())) == want
+    assert store.upsert(spark.createDataFrame([observation("c", 9, name="C")], OBSERVATION), "c")
+    assert by_id(store.places())["c"].name == "C" and store.count() == 3
+
+
+def test_a_pruned_store_loses_content_for_good_when_compacted(spark, tmp_path):
+    store = PlaceStore(spark, str(tmp_path / "places"))
+    store.upsert(spark.createDataFrame(ROWS[:4], OBSERVATION))
+    store.prune(NOW + timedelta(hours=3, minutes=30))
+    store.compact()
+    stored = spark.read.parquet(str(tmp_path / "places" / "batch=*")).where("place_id = 'a'")
+    assert stored.count() == 1 and stored.first()["name"] is None
+
+
 def test_pruned_log_does_not_bring_content_back(spark):
     log = fold.prune_log(spark.createDataFrame(ROWS[:4], OBSERVATION), NOW + timedelta(hours=3.5))
     got = by_id(fold.places_of(fold.fold_observations(log)))
@@ -296,3 +363,10 @@ def test_stream_equals_batch_even_when_replayed(spark, tmp_path):
         assert sorted(map(repr, store.places().collect())) == want
     got = by_id(store.places())["r1"]
     assert (got.name, got.website) == ("Kohvik Põhjala", "w")
+    # Another checkpoint is another stream; the same one, run again, adds no batch.
+    before = store.table.names()
+    assert len(before) == 6
+    start_upsert(stream_payloads(spark, str(landing), files_per_batch=1), store, str(tmp_path / "c2")).awaitTermination()
+    assert store.table.names() == before
+    last = spark.read.schema("id string").json(str(tmp_path / "c2" / "metadata")).first().id
+    assert not store.upsert(batch, f"{last}-2") and store.table.names() == before
