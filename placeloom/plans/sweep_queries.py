@@ -25,6 +25,9 @@ from placeloom.plans.check_sql import (
 from placeloom.plans.cover_queries import CITY_BOXES, box_cells, city_boxes, rounded
 from placeloom.plans.registry import query
 from placeloom.plans.views import view, view_sql
+from placeloom.session import scratch_path
+from placeloom.sources.tables import CellLog, PlaceStore
+from placeloom.streaming.sweep import ANSWER, start_sweep
 
 _BAR = sweep.SweepSettings(min_reviews=25)
 _HIT = "queue_pos, place_id, result_rank, round(distance_m, 3) as distance_m"
@@ -220,7 +223,8 @@ _SECOND = outcomes(
     f"(select queue_pos, lat, lng, radius_m, depth from next_level)",
     judged(hits("next_level", POPULARITY_ORDER), 25, known=_KEPT), 25, 1,
 )
-_TWO = f"""next_level as (select * from {_NEXT_ONCE}),
+_NEXT_LEVEL = f"next_level as (select * from {_NEXT_ONCE})"
+_TWO = f"""{_NEXT_LEVEL},
   both_levels as (select queue_pos, lat, lng, radius_m, depth, result_count, n_below_bar,
       n_not_restaurant, n_new, saturated, reason, split from {_TOP}
     union all select queue_pos, lat, lng, radius_m, depth, result_count, n_below_bar,
@@ -267,6 +271,52 @@ def sweep_counters(spark, sf_dir):
     return spark.createDataFrame(rows, schema)
 
 
+_LEVELS_KEPT = f"""(select place_id from {_JUDGED} where kept
+    union select place_id from {judged(hits('next_level', POPULARITY_ORDER), 25)} where kept)"""
+
+
+@query(
+    "sweep_to_store",
+    f"""with {_NEXT_LEVEL}
+    select place_id, name, user_rating_count, primary_type, latitude
+    from {view_sql('places_v')} where place_id in (select place_id from {_LEVELS_KEPT})""",
+)
+def sweep_to_store(spark, sf_dir):
+    """Answers to all cells of two levels land in no order; the stream takes those asked for."""
+    settings = sweep.SweepSettings(min_reviews=25, max_depth=1)
+    cells = box_cells(spark, sf_dir)
+    cells = cells.unionByName(split_children(cells).select(*cells.columns))
+    keep = ("user_rating_count", "primary_type", "name")
+    found = capped_search(
+        cells, view(spark, sf_dir, "places_v"), ["depth", "queue_pos"], rank_for(settings.min_reviews), keep=keep
+    )
+    payload = F.to_json(
+        F.struct(
+            F.col("place_id").alias("id"),
+            F.struct(F.col("name").alias("text")).alias("displayName"),
+            F.col("user_rating_count").alias("userRatingCount"),
+            F.col("primary_type").alias("primaryType"),
+            F.struct(F.col("p_lat").alias("latitude")).alias("location"),
+        )
+    )
+    found = found.join(
+        view(spark, sf_dir, "places_v").select("place_id", F.col("latitude").alias("p_lat")), "place_id"
+    )
+    # At most twenty payloads a cell.
+    payloads = found.groupBy("depth", "queue_pos").agg(F.collect_list(payload).alias("payloads"))
+    answers = cells.join(payloads, ["depth", "queue_pos"], "left").select(
+        F.lit("all").alias("area_id"), "queue_pos", "depth", "lat", "lng", "radius_m",
+        F.lit("ok").alias("status"), F.lit(datetime(2001, 1, 1)).cast("timestamp").alias("seen_at"),
+        F.col("queue_pos").alias("ingest_seq"), F.coalesce("payloads", F.array().cast("array<string>")).alias("payloads"),
+    )
+    root = scratch_path(spark, "sweep")
+    answers.repartition(4, F.xxhash64("depth", "queue_pos")).write.parquet(f"{root}/landed")
+    landed = spark.readStream.schema(ANSWER).option("maxFilesPerTrigger", 2).parquet(f"{root}/landed")
+    store, log = PlaceStore(spark, f"{root}/store"), CellLog(spark, f"{root}/log")
+    start_sweep(landed, store, log, f"{root}/requests", f"{root}/checkpoint", settings).awaitTermination()
+    return store.places().select("place_id", "name", "user_rating_count", "primary_type", "latitude")
+
+
 @query("adaptive_cover")
 def adaptive_cover(spark, sf_dir):
     """A full census of the places: every place found, and the level that found it."""

@@ -80,10 +80,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     The result no longer depends on its inputs (a lost executor costs a file
     read, not a recomputation) and Catalyst sees its true size.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
+    return materialize_at(df, scratch_path(df.sparkSession, label))
+
+
+def materialize_at(df: DataFrame, path: str) -> DataFrame:
+    """The same at a given path, for a caller that removes it when it is done."""
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def materialize_with(df: DataFrame, label: str, **measures: Column) -> tuple[DataFrame, dict]:
