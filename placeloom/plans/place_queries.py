@@ -11,7 +11,7 @@ from placeloom.operators import filters, fold, normalize, report
 from placeloom.operators.numbering import number_rows
 from placeloom.plans.check_sql import words
 from placeloom.plans.registry import query
-from placeloom.plans.views import table, view, view_sql
+from placeloom.plans.views import stream, table, view, view_sql
 from placeloom.schemas import place_type
 from placeloom.session import scratch_path
 from placeloom.sources import files
@@ -319,6 +319,34 @@ def stream_upsert(spark, sf_dir):
     return store.places().select(*_FOLD_COLUMNS)
 
 
+_SEEN = view_sql("sightings_v")
+_NEWEST = {
+    "name": "json_extract_string(payload, '$.displayName.text')",
+    "rating": "json_extract(payload, '$.rating')::double",
+    "website": "json_extract_string(payload, '$.websiteUri')",
+    "takeout": "json_extract(payload, '$.takeout')::boolean",
+}
+
+
+@query(
+    "payload_upsert",
+    f"""select json_extract_string(payload, '$.id') as place_id, {', '.join(
+        f"arg_max({value}, (seen_at, ingest_seq)) filter (where {value} is not null) as {column}"
+        for column, value in _NEWEST.items())},
+      min(seen_at) as first_seen_at, max(seen_at) as last_seen_at
+    from {_SEEN} group by 1""",
+)
+def payload_upsert(spark, sf_dir):
+    """Raw payloads as a stream: parsed, folded batch by batch, the store compacted."""
+    observed = normalize.normalize_payload(stream(spark, sf_dir, "sightings_v"))
+    store = PlaceStore(spark, scratch_path(spark, "payload-store"), buckets=2)
+    start_upsert(observed, store, scratch_path(spark, "payload-checkpoint")).awaitTermination()
+    early = normalize.normalize_payload(view(spark, sf_dir, "sightings_v").where("ingest_seq % 10 = 0"))
+    store.upsert(early, "again")  # what was seen before changes nothing
+    store.compact()
+    return store.places().select("place_id", *_NEWEST, "first_seen_at", "last_seen_at")
+
+
 # --- ordering, summaries, exports -------------------------------------------
 
 _FOLD_NAME = (

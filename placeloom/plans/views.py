@@ -128,7 +128,25 @@ select
 from {events}
 """
 
+# Payloads as they are collected: a user of the events is a place seen many times.
+VIEWS["sightings_v"] = """
+select
+  ts as seen_at,
+  event_id as ingest_seq,
+  '{{"id":"U' || cast(user_id as string) || '"'
+  || case when event_id % 7 = 0 then '' else ',"displayName":{{"text":"' || event_type || ' '
+       || cast(event_id as string) || '"}}' end
+  || case when event_id % 3 = 0 then ',"rating":' || cast(1 + event_id % 4 as string) || '.5'
+       else '' end
+  || case when event_id % 5 = 0 then ',"websiteUri":"https://s' || cast(event_id as string)
+       || '.example"' else '' end
+  || case event_id % 4 when 0 then ',"takeout":true' when 1 then ',"takeout":false' else '' end
+  || '}}' as payload
+from {events}
+"""
+
 _NEEDS = {
+    "sightings_v": ["events"],
     "places_v": ["customer", "nation"],
     "curated_v": ["supplier", "places_v"],
     "observations_v": ["orders"],
@@ -161,3 +179,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         for n in _NEEDS[name]
     }
     return spark.sql(text, **parts)
+
+
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A view of one table, read as a stream of that table's files."""
+    (source,) = _NEEDS[name]
+    schema = table(spark, sf_dir, source).schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{source}.parquet").parquet(sf_dir)
+    return spark.sql(VIEWS[name], **{source: rows})
