@@ -7,15 +7,12 @@ from pyspark.sql import functions as F
 
 from placeloom import fixed
 from placeloom.functions.geo import position
-from placeloom.operators.grid import profile_circles, radius_class, within_circles
+from placeloom.operators.grid import within_circles
+from placeloom.operators.pyramid import nearest_edges
 from placeloom.operators.skew import BROADCAST_ROWS, SIDE_ROWS
 from placeloom.session import materialize, materialize_with
 
 _CELL = ["lat", "lng", "radius_m"]
-_FIRST_RING_M = 1_000.0
-_RING_GROWTH = 4.0
-# Half the circumference: no two points are further apart.
-_WHOLE_EARTH_M = 20_016_000.0
 
 
 def _positions(targets: DataFrame) -> DataFrame:
@@ -23,80 +20,6 @@ def _positions(targets: DataFrame) -> DataFrame:
     return targets.select("target_id", lat.alias("p_lat"), lng.alias("p_lng"))
 
 
-def _ring_gaps(pending: DataFrame, cells: DataFrame, n: int, **options) -> DataFrame:
-    """Distance to the nearest cell edge, by rings of growing reach.
-
-    A cell whose edge is within reach b of a target is one whose circle, grown
-    by b, contains it.  If any is found, the smallest gap found is the true
-    one; targets without one go on to the next ring.
-    """
-    reach, found = _FIRST_RING_M, None
-    while True:
-        grown = cells.withColumn("grown_m", F.col("radius_m") + reach)
-        pairs = within_circles(
-            grown,
-            pending,
-            _CELL,
-            ["target_id"],
-            circle_at=("lat", "lng", "grown_m"),
-            max_radius_m=None,
-            **options,
-        )
-        gap = F.col("distance_m") - F.col("radius_m")
-        gaps, seen = materialize_with(
-            pairs.groupBy("target_id").agg(F.min(gap).alias("gap_m")),
-            "gaps",
-            n=F.count(F.lit(1)),
-        )
-        found = gaps if found is None else found.unionByName(gaps)
-        n -= seen["n"]
-        if n <= 0 or reach >= _WHOLE_EARTH_M:
-            return found
-        pending = materialize(pending.join(gaps, "target_id", "left_anti"), "uncovered")
-        reach = min(reach * _RING_GROWTH, _WHOLE_EARTH_M)
-
-
-def _gaps(uncovered: DataFrame, cells: DataFrame, n: int, **options) -> DataFrame | None:
-    """Exact distance to the nearest cell edge, in two steps.
-
-    One cell per tile is enough for an upper bound on a target's gap.  Only
-    cells with their edge within that bound can be nearer: per radius class,
-    those centred within the bound plus the class's largest radius.
-    """
-    if not n:
-        return None
-    tile = [F.round("lat", 2).alias("_tile_lat"), F.round("lng", 2).alias("_tile_lng")]
-    largest = F.max(F.struct("radius_m", "lat", "lng")).alias("c")
-    samples, seen = materialize_with(
-        cells.groupBy(*tile).agg(largest).select("c.lat", "c.lng", "c.radius_m"),
-        "samples",
-        n=F.count(F.lit(1)),
-    )
-    if not seen["n"]:
-        return None
-    bounds = _ring_gaps(uncovered, samples, n, **options)
-    classes = profile_circles(cells, F.col("radius_m")).classes
-    reaching = (
-        uncovered.join(bounds, "target_id")
-        .withColumn("cell_class", F.explode(F.array(*[F.lit(k) for k in classes])))
-        .withColumn("reach_m", F.col("gap_m") + F.pow(F.lit(2.0), F.col("cell_class")) + 1.0)
-        .drop("gap_m")
-    )
-    pairs = within_circles(
-        materialize(reaching, "reaching"),
-        cells.withColumn("cell_class", radius_class(F.col("radius_m"))),
-        ["target_id", "cell_class"],
-        _CELL,
-        circle_at=("p_lat", "p_lng", "reach_m"),
-        point_at=("lat", "lng"),
-        max_radius_m=None,
-        extra_keys=("cell_class",),
-        **options,
-    )
-    gap = F.col("distance_m") - F.col("radius_m")
-    return pairs.groupBy("target_id").agg(F.min(gap).alias("gap_m"))
-
-
 def diagnose(
     misses: DataFrame,
     cells: DataFrame,
@@ -124,7 +47,7 @@ def diagnose(
     uncovered, seen = materialize_with(
         placed.join(covering, "target_id", "left_anti"), "uncovered", n=F.count(F.lit(1))
     )
-    gaps = _gaps(uncovered, cells, seen["n"], **options)
+    gaps = nearest_edges(uncovered, cells, **options) if seen["n"] else None
 
     out = positions.join(covering, "target_id", "left")
     if gaps is None:
