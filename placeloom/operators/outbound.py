@@ -14,7 +14,7 @@ from placeloom import fixed
 from placeloom.functions.text import strip
 from placeloom.operators.filters import unsynced
 from placeloom.operators.numbering import first_rows, number_rows
-from placeloom.operators.report import name_order
+from placeloom.operators.report import name_keys, name_order
 from placeloom.session import materialize
 
 _NOT_FIELDS = {"source_place_id", "source_name", "row_no", "batch_id", "pos"}
@@ -93,7 +93,7 @@ def outbound_records(
         raise ValueError(f"external id field {external_id!r} is not in the field map")
     chosen = unsynced(places) if only_unsynced else places
     if limit:
-        chosen = first_rows(chosen, name_order(), limit)
+        chosen = first_rows(chosen, name_order(), limit, name_keys())
     stamp = stamped_at if object_name.endswith(fixed.CUSTOM_OBJECT_SUFFIX) else None
     records = build_records(chosen, mapping, stamp)
     return records.where(F.col(external_id).isNotNull())

@@ -15,6 +15,11 @@ def name_key(name: Column) -> Column:
     return F.translate(name, string.ascii_uppercase, string.ascii_lowercase)
 
 
+def name_keys(name: str = "name", key: str = "place_id") -> list[Column]:
+    """What ``name_order`` sorts by."""
+    return [name_key(F.col(name)), F.col(key)]
+
+
 def name_order(name: str = "name", key: str = "place_id") -> list[Column]:
     """By name, NULL first; ties by key, so the order is total."""
     return [name_key(F.col(name)).asc_nulls_first(), F.col(key).asc()]

@@ -398,7 +398,7 @@ def run_sweep(
         n_todo = level["todo"]
         out_of_budget = remaining is not None and n_todo > remaining
         if out_of_budget:
-            todo = materialize(first_rows(todo, [F.col("queue_pos")], remaining), "in-budget")
+            todo = materialize(first_rows(todo, [F.col("queue_pos")], remaining, [F.col("queue_pos")]), "in-budget")
             n_todo = remaining
             # The queue ends at the first cell not searched: nothing behind it is skipped.
             taken = F.coalesce(F.max("queue_pos"), F.lit(-1)).alias("last")

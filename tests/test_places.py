@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from placeloom import fixed
 from placeloom.operators import filters, fold, normalize, report
+from placeloom.operators import numbering
 from placeloom.operators.numbering import first_rows, number_rows
 from placeloom.schemas import CELL_LOG, OBSERVATION
 from placeloom.sources import files
@@ -291,6 +292,23 @@ def test_name_order_and_numbering(spark):
     assert {r.place_id for r in first_rows(df, report.name_order(), 2).collect()} == {"3", "2"}
 
 
+def test_first_rows_by_heap_by_cut_and_by_partition(spark, monkeypatch):
+    names = F.when(F.col("id") % 11 == 0, F.lit(None)).otherwise(F.concat(F.chr(F.col("id") * 7 % 26 + 65), F.col("id").cast("string")))
+    df = spark.range(30_000).select(F.lpad(F.col("id").cast("string"), 6, "0").alias("place_id"), names.alias("name")).repartition(6)
+    fold_name = lambda r: (r.name is not None, (r.name or "").lower(), r.place_id)
+    want = [r.place_id for r in sorted(df.collect(), key=fold_name)]
+    monkeypatch.setattr(numbering, "SAMPLE_KEYS", 2000)
+    seen = []
+    monkeypatch.setattr(numbering, "number_rows", lambda rows, *a: seen.append(rows.count()) or number_rows(rows, *a))
+    for n, keys in ((500, None), (2500, report.name_keys()), (2500, None), (29_999, report.name_keys())):
+        got = first_rows(df, report.name_order(), n, keys)
+        assert {r.place_id for r in got.collect()} == set(want[:n])
+    assert seen[0] < 5000 and seen[1] == 15_000 and seen[2] == 30_000
+    assert first_rows(df, report.name_order(), 0).count() == 0
+    plan = first_rows(df, report.name_order(), 500)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan
+
+
 def test_summaries_of_nothing(spark):
     empty = PlaceStore(spark, "/tmp/placeloom-no-such-store").places()
     assert report.dataset_summary(empty).first().asDict() == {
