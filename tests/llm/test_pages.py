@@ -1,5 +1,7 @@
 """Main text, URL filter and quality classifier."""
 
+import time
+
 import fixtures
 import numpy as np
 import pytest
@@ -72,6 +74,85 @@ def test_innermost_article_without_teasers():
     assert [line[:1] if "x" in line else line for line in got.split("\n")] == want
 
 
+WRAPPERS = [
+    "content has-sidebar", "layout-no-sidebar", "post has-comments", "has-header-image", "page-with-menu",
+    "main side-by-side", "site-search-results", "sidebar-left", "header-fixed", "no-ads", "widget-area",
+]
+
+
+@pytest.mark.parametrize("mark", [f'div class="{c}"' for c in WRAPPERS] + ['form id="aspnetForm"', 'body class="menu-open"'])
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_wrappers_named_after_parts_keep_the_page(mark, inner):
+    """A class that tells what a page has, or a form around everything, is no part beside the article."""
+    tag = mark.split()[0]
+    text = paragraphs("a", 4, 140)
+    page = f"<body><{mark}><nav><a href=/>Home</a></nav><{inner}>{text}</{inner}><div class=comments><p>me too</p></div></{tag}></body>"
+    assert html_text.main_text(page).count("\n") == 3 and len(html_text.main_text(page)) >= 560
+
+
+@pytest.mark.parametrize("part", ["sidebar", "main-sidebar", "site-footer", "comments", "comment-list", "cookie-notice", "related-posts", "ad"])
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_marked_parts_go(part, inner):
+    beside = f'<div class="{part}">' + paragraphs("z", 3, 120) + "</div>"
+    for page in (f"<{inner}>{paragraphs('a', 5, 200)}</{inner}>{beside}", f"{beside}<{inner}>{paragraphs('a', 5, 200)}{beside}</{inner}>"):
+        got = html_text.main_text(f"<body><div>{page}</div></body>")
+        assert [line[0] for line in got.split("\n")] == ["a"] * 5
+
+
+def test_comments_longer_than_the_article_go():
+    comments = "".join(f"<li><article class=comment-body><p>z{'y' * 200}</p></article>" for _ in range(20))
+    for inner in ("article", "div"):
+        page = f"<body><{inner}>{paragraphs('a', 6, 300)}</{inner}><ol class='comment-list'>{comments}</ol></body>"
+        assert [line[0] for line in html_text.main_text(page).split("\n")] == ["a"] * 6
+    assert html_text.main_text("<nav><p>only a menu</p></nav>") == "only a menu"
+
+
+def test_given_pages_without_their_article_marks():
+    """Renaming the marks to plain blocks leaves all but a few of the same words."""
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()
+    both = total = plain = 0
+    for page in pages:
+        if page:
+            marked = html_text.main_text(page).split("\n")
+            renamed = html_text.main_text(page.replace("<article", "<div").replace("</article>", "</div>")).split("\n")
+            both += sum(len(x) for x in set(marked) & set(renamed))
+            total, plain = total + sum(map(len, set(marked))), plain + sum(map(len, set(renamed)))
+    assert both > 0.97 * total and both > 0.97 * plain
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<p>a <b class="' + "x" * 1_000_000,
+        "<p>a <b " + "x" * 1_000_000,
+        "<p>a <b " + "x = " * 250_000,
+        "<div>a" * 170_000,
+        "<p><table><tr><td>" + "<div>a" * 150_000,
+        "<b>a" * 250_000 + "</i>" * 250_000,
+        "<p>a</section>" * 70_000,
+        "<div>" * 80_000 + "<p>x" * 50_000,
+        "<ul><li>a" * 110_000,
+        "&" * 1_000_000,
+        "a < b " * 160_000,
+        "<!-- x" * 160_000,
+        "<script>" * 120_000,
+        "<b '>a" * 160_000,
+    ],
+    ids=range(14),
+)
+def test_a_megabyte_of_anything_is_read_once(page):
+    """In time in proportion: a tenth of the page takes more than a thirtieth of the time."""
+
+    def seconds(text):
+        began = time.process_time()
+        html_text.main_text(text)
+        return time.process_time() - began
+
+    assert seconds(page) < 10 + 30 * seconds(page[: len(page) // 10])
+
+
 def test_long_and_deep_pages():
     assert len(html_text.main_text("<div>" * 5000 + "x" + "</div>" * 5000)) == 1
     many = "".join(f"<p>{k}</p>" for k in range(20000))
