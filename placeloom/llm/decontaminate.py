@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placeloom.llm.sizes import small_side
+from placeloom.llm.sizes import small_side, unused
 from placeloom.llm.words import lowered, shingle_hashes, words
 from placeloom.session import materialize
 
@@ -167,10 +167,17 @@ def remove(
     text: str = "text",
     **names: str,
 ) -> DataFrame:
-    """``docs`` without the documents in which an item is found; all columns stay."""
+    """``docs`` without the documents in which an item is found; all columns stay.
+
+    Rows are told apart by id and text, null ids included; rows that repeat both go or
+    stay together. Null and blank texts hold no item and stay, as all rows do when the
+    benchmark is empty; an empty table stays empty. No column name is reserved.
+    """
+    own_id, own_key = unused(docs, "_leak_id"), unused(docs, "_leak_key")
+    found = find(docs, benchmark, rules, doc_id, text, **names)
     leaks = materialize(
-        find(docs, benchmark, rules, doc_id, text, **names).select(F.col("doc_key").alias("_leak_key")).distinct(),
-        "leaks",
+        found.select(F.col("doc_id").alias(own_id), F.col("doc_key").alias(own_key)).distinct(), "leaks"
     )
-    key = F.xxhash64(F.col(f"`{doc_id}`"), F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    return docs.join(small_side(leaks), key == F.col("_leak_key"), "left_anti")
+    identity = F.col(f"`{doc_id}`")
+    key = F.xxhash64(identity, F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    return docs.join(small_side(leaks), (key == F.col(own_key)) & identity.eqNullSafe(F.col(own_id)), "left_anti")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeloom.llm.components import components
-from placeloom.llm.sizes import small_side
+from placeloom.llm.sizes import small_side, unused
 from placeloom.session import materialize
 
 # Text bytes worked on at a time, and nodes of a bucket compared at a time.
@@ -442,10 +442,24 @@ def deduplicate(docs: DataFrame, rules: MinHash = MinHash(), doc_id: str = "doc_
     """``docs`` with one document of each group, that with the smallest id; all columns stay.
 
     Rows are told apart by id and text: where an id repeats with other texts, each
-    goes or stays on its own. Rows that repeat both are judged alike.
+    goes or stays on its own, and of rows that repeat both one stays. A null or blank
+    text is like no other, and rows with a null id are judged by no one: all of them
+    stay. An empty table stays empty. No column name is reserved.
     """
-    dropped = _judged(docs, rules, doc_id, text).where(~F.col("kept"))
-    dropped = dropped.select(F.col("doc_id").alias("_dropped"), F.col("text_key").alias("_dropped_text")).distinct()
-    dropped = materialize(dropped, "dropped")
-    same = (F.col(f"`{doc_id}`") == F.col("_dropped")) & (F.xxhash64(_body(text)) == F.col("_dropped_text"))
-    return docs.join(small_side(dropped), same, "left_anti")
+    judged = materialize(_judged(docs, rules, doc_id, text).select("doc_id", "text_key", "kept"), "near-judged")
+    left = _without(docs, judged.where(~F.col("kept")).distinct(), doc_id, text)
+    again = judged.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id", "text_key").agg(F.count("*").alias("n"))
+    again = materialize(again.where(F.col("n") > 1), "repeated-rows")
+    if again.isEmpty():
+        return left
+    # Only rows that repeat are shuffled.
+    repeated = _without(left, again, doc_id, text, "left_semi").dropDuplicates([doc_id, text])
+    return _without(left, again, doc_id, text).unionByName(repeated)
+
+
+def _without(docs: DataFrame, rows: DataFrame, doc_id: str, text: str, kind: str = "left_anti") -> DataFrame:
+    """``docs`` without (or with only) the rows given as doc_id and text_key."""
+    own_id, own_text = unused(docs, "_row_id"), unused(docs, "_row_text")
+    named = materialize(rows.select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_text)), "rows")
+    same = (F.col(f"`{doc_id}`").cast("long") == F.col(own_id)) & (F.xxhash64(_body(text)) == F.col(own_text))
+    return docs.join(small_side(named), same, kind)

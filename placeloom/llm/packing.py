@@ -1,8 +1,8 @@
 """Packing into optimal length buckets.
 
 Documents are cut into sequences of at most ``max_tokens``. The global histogram of
-sequence lengths, in steps of ``step`` tokens, has at most ``max_tokens / step``
-rows whatever the corpus; dynamic programming over it chooses the bucket boundaries
+sequence lengths, in steps of ``step`` tokens (1: exact lengths), has at most
+``max_tokens / step`` rows whatever the corpus; dynamic programming over it chooses the bucket boundaries
 with the least padding. Sequences of a bucket, in the order of their documents, fill
 batches of ``budget`` tokens, padding included.
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,9 @@ from placeloom.operators.numbering import number_rows
 from placeloom.session import materialize
 
 
+_MORE = np.iinfo(np.int64).max
+
+
 @dataclass(frozen=True)
 class Packing:
     max_tokens: int = 2048
@@ -34,7 +38,6 @@ class Packing:
 def sequences(docs: DataFrame, length: Column, packing: Packing, doc_id: str = "doc_id") -> DataFrame:
     """doc_id, piece (0..), n_tokens: each document in runs of ``max_tokens``."""
     size = F.greatest(F.coalesce(length, F.lit(0)), F.lit(0)).cast("long")
-    pieces = F.greatest(F.ceil(size / packing.max_tokens), F.lit(1))
     sized = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), size.alias("size"))
     return sized.select(
         "doc_id", "size", F.explode(F.sequence(F.lit(0), (F.greatest(F.ceil(F.col("size") / packing.max_tokens), F.lit(1)) - 1).cast("int"))).alias("piece")
@@ -52,24 +55,26 @@ def boundaries(counts: dict[int, int], packing: Packing) -> list[int]:
     buckets as allowed are used, no more than there are bins. Of equally good
     choices the one with the smaller ends is taken.
     """
-    bins = sorted(counts)
-    before, total = {}, 0
-    for b in bins:
-        total += counts[b]
-        before[b] = total
+    if not counts:
+        return []
+    bins = np.array(sorted(counts), np.int64)
+    before = np.cumsum([counts[b] for b in bins.tolist()])
+    ends = [[b] for b in bins.tolist()]
     # Padding is the padded length less the fixed sum of lengths: minimise the former.
-    best = {b: [packing.step * b * before[b], b] for b in bins}
-    for _ in range(1, min(packing.buckets, len(bins))):
-        best = {
-            b: min(
-                [best[a][0] + packing.step * b * (before[b] - before[a]), *best[a][1:], b]
-                for a in bins
-                if a < b and a in best
-            )
-            for b in bins
-            if any(a < b for a in best)
-        }
-    return best[bins[-1]][1:] if bins else []
+    cost, place = packing.step * bins * before, np.arange(len(bins))
+    between = packing.step * bins[:, None] * (before[:, None] - before[None, :])
+    reachable = np.tri(len(bins), k=-1, dtype=bool)
+    for used in range(1, min(packing.buckets, len(bins))):
+        # The best state with one bucket less that ends earlier; ``place`` ranks their ends.
+        total = np.where(reachable, cost[None, :] + between, _MORE)
+        total[:, : used - 1] = _MORE
+        least = total.min(axis=1)
+        chosen = np.where(total == least[:, None], place[None, :], len(bins)).argmin(axis=1)
+        ends = [[*ends[a], b] for a, b in zip(chosen.tolist(), bins.tolist())]
+        order = np.lexsort((bins, place[chosen]))
+        cost, place = least, np.empty(len(bins), np.int64)
+        place[order] = np.arange(len(bins))
+    return ends[-1]
 
 
 def pack(
@@ -82,8 +87,9 @@ def pack(
     """One row per sequence: doc_id, piece, n_tokens, padded, batch, slot.
 
     ``length`` gives the tokens of a document; by default its words are counted, which
-    are fewer than its tokens: ``pack_tokens`` counts these. A document without tokens (null or empty text) is one sequence of length 0 that
-    takes no place: its padded, batch and slot are null. Sequences with the same id
+    are fewer than its tokens: ``pack_tokens`` counts these. A document without tokens
+    (null or empty text) is one sequence of length 0 that takes no place: its padded,
+    batch and slot are null. Sequences with the same id
     (repeated rows, null ids) are packed each on its own. An empty table packs to an
     empty one. Other columns are not read.
     """
@@ -127,7 +133,8 @@ def pack_tokens(
     """``pack`` by the pieces of a tokenizer, so that all limits are in its tokens.
 
     ``tokenizer`` is a path as for ``token_counts.count_tokens``. A text of one very
-    long word is cut like any other.
+    long word is cut like any other. Null, empty and repeated rows, null ids, ties (by
+    id, then piece), empty tables and other columns are as in ``pack``.
     """
     counted = token_counts.count_tokens(docs, tokenizer, doc_id, text).select("doc_id", "n_tokens")
     # Written once: the range partitioning reads its input twice.

@@ -226,10 +226,12 @@ def judge(
     }
     # The language is kept aside, so that a clash of names cannot hide it.
     language = F.col(f"`{lang}`") if lang else F.lit(None)
-    rest = [c for c in docs.columns if c.lower() not in made and c != text and not c.startswith("_q_")]
-    staged = docs.select(*[F.col(f"`{c}`") for c in rest], language.cast("string").alias("language"), F.col(f"`{text}`"))
+    # Under names of their own, so that none can clash.
+    rest = {c: f"c{k}" for k, c in enumerate(docs.columns) if c.lower() not in made and c != text}
+    carried = [F.col(f"`{c}`").alias(own) for c, own in rest.items()]
+    staged = docs.select(*carried, language.cast("string").alias("language"), F.col(f"`{text}`").alias("body"))
     # A fixed copy: the references and the verdicts read the same counts, and texts are read once.
-    counted = materialize(profile(staged, text), "quality-profile").withColumns(
+    counted = materialize(profile(staged, "body"), "quality-profile").withColumns(
         {"class_share": _shares(F.col("classes")), "word_share": _shares(F.col("common"))}
     )
     refs = references(counted, rules)
@@ -268,7 +270,7 @@ def judge(
         & (F.col("word_distance") <= rules.word_limit)
     )
     return judged.select(
-        *[F.col(f"`{c}`") for c in rest],
+        *[F.col(own).alias(c) for c, own in rest.items()],
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "class_distance", "word_distance", "base_failed", kept.alias("kept"),
     )

@@ -64,11 +64,23 @@ FROM ranked
 """
 
 
-@query("op5_packing", OP5_SQL)
+TOKENIZER = "word_bpe_49k.json"
+
+
+@query("op5_packing")
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By tokens, and buckets by exact lengths."""
+    rules = packing.Packing(max_tokens=2048, step=1, buckets=8, budget=16384)
+    return packing.pack_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), rules)
+
+
+@query("op5_word_packing", OP5_SQL)
+def op5_word_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By words, under the name of tokens, so that SQL can follow."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 @query("op5_token_packing")
 def op5_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    """By tokens, bucket ends at multiples of sixteen."""
+    return packing.pack_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))

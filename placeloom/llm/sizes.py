@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it until no column of ``df`` bears it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_side(df: DataFrame) -> DataFrame:
-    """``df`` (cheap to count, of a few short columns) marked for broadcast when it is small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """``df`` (of a few short columns) marked for broadcast when it is small; counted no further."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

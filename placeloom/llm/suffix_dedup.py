@@ -420,13 +420,14 @@ def remove_repeats(
     spark = docs.sparkSession
     whole = T.LongType()
     added = {"n_bytes": whole, "n_removed": whole, "n_spans": whole, "kept_sha256": T.StringType()}
-    kept = [c for c in docs.columns if c not in (text, *added) and not c.startswith("_sx_")]
+    # Under names of their own, so that none can clash.
+    kept = {c: f"c{k}" for k, c in enumerate(docs.columns) if c not in (text, *added)}
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     total = docs.select(F.sum(F.octet_length(body)).alias("n")).first().n or 0
     blocks, buckets = -(-total // BLOCK_BYTES) or 1, shuffle_width(spark)
     identity = F.col(f"`{doc_id}`").cast("long")
     dealt = docs.select(
-        *[F.col(f"`{c}`") for c in kept],
+        *[F.col(f"`{c}`").alias(own) for c, own in kept.items()],
         identity.alias("_sx_id"),
         body.alias("_sx_text"),
         F.pmod(F.xxhash64(identity, body), F.lit(blocks)).cast("long").alias("_sx_block"),
@@ -447,9 +448,9 @@ def remove_repeats(
         .groupBy("bucket")
         .applyInArrow(_find_spans(rules), "_sx_block long, starts binary, ends binary")
     )
-    fields = [dealt.schema[c] for c in (*kept, "_sx_text")]
+    fields = [dealt.schema[c] for c in (*kept.values(), "_sx_text")]
     fields += [T.StructField(f"_sx_out_{name}", kind) for name, kind in added.items()]
     schema = T.StructType(fields)
     out = by_block.cogroup(spans.groupBy("_sx_block")).applyInArrow(_trim(rules, to_arrow_schema(schema)), schema)
-    named = [F.col("_sx_text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c in (*kept, text)]
+    named = [F.col(kept.get(c, "_sx_text")).alias(c) for c in docs.columns if c in (*kept, text)]
     return out.select(*named, *[F.col(f"_sx_out_{name}").alias(name) for name in added])

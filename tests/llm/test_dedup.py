@@ -6,7 +6,7 @@ import random
 import fixtures
 import numpy as np
 import pytest
-from placeloom.llm import near_dedup, suffix_arrays, suffix_dedup
+from placeloom.llm import near_dedup, quality_rules, suffix_arrays, suffix_dedup
 from placeloom.llm.components import components
 
 
@@ -77,7 +77,13 @@ def test_repeated_rows_and_ids(spark):
     got = {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(docs).collect()}
     assert got == {(5, 5), (6, 5), (7, 7), (8, 7)}
     left = near_dedup.deduplicate(docs)
-    assert sorted(r.doc_id for r in left.collect()) == [5, 5, 7, 7] and left.columns == docs.columns
+    # One row of each group: of rows that repeat id and text one stays.
+    assert sorted(r.doc_id for r in left.collect()) == [5, 7, 7] and left.columns == docs.columns
+    named = docs.selectExpr("*", "1 AS _row_id", "2 AS _row_text", "3 AS text_key")
+    assert sorted(r.doc_id for r in near_dedup.deduplicate(named).collect()) == [5, 7, 7]
+    blank = fixtures.frame(spark, [(None, text, "en", "s", 1)] * 2 + [(9, None, "en", "s", 1), (9, "", "en", "s", 1)])
+    assert near_dedup.deduplicate(blank).where("doc_id is null").count() == 2
+    assert near_dedup.deduplicate(blank.limit(0)).collect() == []
 
 
 def test_other_text_of_a_dropped_id_stays(spark):
@@ -87,6 +93,14 @@ def test_other_text_of_a_dropped_id_stays(spark):
     assert sorted((r.doc_id, r.text) for r in left.collect()) == sorted([(3, two), (7, one)])
 
 
+def test_no_name_is_reserved(spark):
+    docs = fixtures.frame(spark, [(1, "a", "en", "s", 1)]).selectExpr("*", "1 AS _sx_id", "2 AS _sx_block", "3 AS c0", "4 AS _q_text")
+    left = suffix_dedup.remove_repeats(docs).first()
+    judged = quality_rules.judge(docs).first()
+    for row in (left, judged):
+        assert (row["_sx_id"], row["_sx_block"], row.c0, row["_q_text"], row.doc_id) == (1, 2, 3, 4, 1)
+
+
 def test_near_duplicates_on_empty_table(spark):
     assert near_dedup.near_duplicates(fixtures.frame(spark, [])).collect() == []
 
