@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from placeloom.llm import decontaminate, near_dedup, packing, quality_rules, suffix_dedup
 from placeloom.llm.registry import table
-from placeloom.llm.sizes import small_side
+from placeloom.llm.sizes import small_side, unused
 from placeloom.session import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,11 +24,14 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Verdicts belong to rows, which are told apart by id and text: rows that repeat
     both are judged alike. An empty table stays empty.
     """
+    own_id, own_key = unused(docs, "_rejected_id"), unused(docs, "_rejected")
     key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
-    keyed = docs.select(key.alias("key"), "text", "lang")
-    rejected = quality_rules.judge(keyed).where(~F.col("kept")).select(F.col("key").alias("_rejected")).distinct()
+    keyed = docs.select("doc_id", key.alias("key"), "text", "lang")
+    rejected = quality_rules.judge(keyed).where(~F.col("kept"))
+    rejected = rejected.select(F.col("doc_id").alias(own_id), F.col("key").alias(own_key)).distinct()
     rejected = materialize(rejected, "rejected")
-    return docs.join(small_side(rejected), key == F.col("_rejected"), "left_anti").select(*COLUMNS)
+    same = (key == F.col(own_key)) & F.col("doc_id").eqNullSafe(F.col(own_id))
+    return docs.join(small_side(rejected), same, "left_anti").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,17 +63,13 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sequences of all documents, packed into batches by their words.
+    """The sequences of all documents, packed into batches by the tokens that op3 counts.
 
-    A document without words takes no place: its batch is null. An empty table
-    packs to an empty one.
+    A null, empty or blank document is one sequence without tokens, whose batch is null.
+    Rows with one id are packed each on its own; ties go by id. An empty table packs to
+    an empty one, and other columns are not read.
     """
-    return packing.pack(docs)
-
-
-def token_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As ``batches``, by the tokens of the tokenizer whose counts op3 gives."""
-    return packing.pack_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), packing.Packing(step=1))
 
 
 STAGES = [
@@ -80,9 +79,6 @@ STAGES = [
     ("benchmark leaks", leaks),
     ("packing", batches),
 ]
-# The same with sequences and batches in tokens.
-TOKEN_STAGES = [*STAGES[:-1], ("packing", token_batches)]
-
 # Connected components and byte spans over intermediate results: see tests/llm.
 ORACLE_SQL = None
 
