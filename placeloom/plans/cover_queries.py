@@ -153,7 +153,35 @@ def area_start_radius(spark, sf_dir):
     )
 
 
-@query("fit_areas")
+def _fitted(passes: int) -> str:
+    """The passes one after the other: count the cells, grow the radius where they are too many."""
+    parts = [f"""f0 as materialized (select area_id, is_disc, a_lat, a_lng, area_radius_m, south, west, north, east,
+        budget, greatest(25.0::double, sqrt({_AREA} / greatest(1.0::double, budget * 0.7::double)) / {STEP}::double)
+          as cell_radius_m, null::bigint as fitted from {_BUDGET_AREAS})"""]
+    for n in range(passes + 1):
+        boxes = f"""(select area_id, south, west, north, east, cell_radius_m from f{n} where not is_disc and fitted is null)"""
+        discs = f"""(select area_id, a_lat - area_radius_m / {M_LAT} as south, a_lat + area_radius_m / {M_LAT} as north,
+            a_lng - area_radius_m / {m_lng('a_lat')} as west, a_lng + area_radius_m / {m_lng('a_lat')} as east,
+            least(cell_radius_m, area_radius_m) as cell_radius_m, a_lat, a_lng, area_radius_m
+          from f{n} where is_disc and fitted is null)"""
+        parts.append(f"""n{n} as materialized (
+          select area_id, count(*) as n_cells from {cover_sql(boxes)} group by area_id
+          union all select area_id, count(*) from {cover_sql(discs)}
+          where {hav('a_lat', 'a_lng', 'lat', 'lng')} <= area_radius_m + radius_m group by area_id)""")
+        over = f"n_cells > greatest(1, floor(budget * 0.7::double)) and {n} < {passes}"
+        parts.append(f"""f{n + 1} as materialized (
+          select f.* replace (
+              case when fitted is null and {over} then cell_radius_m * (sqrt(n_cells
+                / greatest(1, floor(budget * 0.7::double))) * 1.05::double) else cell_radius_m end as cell_radius_m,
+              case when fitted is null and not ({over}) then n_cells else fitted end as fitted)
+          from f{n} as f left join n{n} using (area_id))""")
+    return ", ".join(parts)
+
+
+@query(
+    "fit_areas",
+    f"""with {_fitted(12)} select area_id, budget, fitted as n_cells, round(cell_radius_m, 4) as cell_radius_m from f13""",
+)
 def fit_areas(spark, sf_dir):
     return cover.fit_areas(budget_areas(spark, sf_dir)).select(
         "area_id", "budget", "n_cells", F.round("cell_radius_m", 4).alias("cell_radius_m")

@@ -18,7 +18,7 @@ from placeloom.operators import diagnose as diag
 from placeloom.operators import linkage, sweep
 from placeloom.plans.check_sql import hav, words
 from placeloom.plans.registry import query
-from placeloom.plans.views import view, view_sql
+from placeloom.plans.views import table, view, view_sql
 from placeloom.session import scratch_path
 from placeloom.sources import files
 
@@ -308,6 +308,171 @@ def evidence_counts(spark, sf_dir):
     return linkage.evidence_counts(linkage.link(_open(spark, sf_dir), _records(spark, sf_dir)))
 
 
+# Names of words without a letter in common, so that the sequence ratio never decides:
+# without a shared word it is that of the blank between the words alone.
+_W = lambda k: f"repeat(chr((98 + ({k}) % 12)::int), 5)"
+_WORD_RECORDS = f"""(select record_pos, {_W('record_pos')} || ' ' || {_W('record_pos * 7 + 3')} as name,
+    case when record_pos % 40 = 0 then null else latitude end as lat, longitude as lng, phone,
+    formatted_address as address
+  from {_PLACES})"""
+_WORD_TARGETS = f"""(select s_suppkey as target_id,
+    case s_suppkey % 5 when 0 then {_W('p.record_pos')} || ' ' || {_W('p.record_pos * 7 + 3')}
+      when 1 then {_W('p.record_pos')}
+      when 2 then {_W('p.record_pos * 7 + 3')} || ' ' || {_W('p.record_pos')}
+      when 3 then 'zzzzz yyyyy' else '' end as name,
+    case when s_suppkey % 23 = 0 then null
+      else p.latitude + (s_suppkey % 4)::double * 0.0004::double end as lat,
+    p.longitude as lng,
+    case s_suppkey % 6 when 0 then p.phone
+      when 1 then '+372 ' || (9000000 + s_suppkey)::varchar end as phone,
+    case when s_suppkey % 4 = 1 then replace(p.formatted_address, ' tn ', ' ') end as address,
+    s_suppkey % 17 = 0 as closed
+  from supplier join {_PLACES} as p on p.record_pos = 1 + (s_suppkey * 13) % 1400)"""
+_WORD_LINKS = f"""
+  r as materialized (select *, {phone_key_sql('phone')} as r_phone, {address_key_sql('address')} as r_address,
+    list_distinct(list_filter(string_split(name, ' '), lambda w: w <> '')) as rw from {_WORD_RECORDS}),
+  t as materialized (select *, {phone_key_sql('phone')} as t_phone, {address_key_sql('address')} as t_address,
+    list_distinct(list_filter(string_split(name, ' '), lambda w: w <> '')) as tw
+    from {_WORD_TARGETS} where not closed),
+  met as (select target_id, record_pos, t_phone, r_phone, t_address, r_address, t.name as t_name, r.name as r_name,
+      tw, rw, len(list_intersect(tw, rw)) as shared, {hav('t.lat', 't.lng', 'r.lat', 'r.lng')} as d
+    from t, r),
+  pairs as materialized (select *, coalesce(t_phone <> r_phone, false) as differ,
+      case when len(tw) = 0 or len(rw) = 0 then 0
+        when shared = 0 then 2.0 * least(length(t_name) - length(replace(t_name, ' ', '')),
+          length(r_name) - length(replace(r_name, ' ', ''))) / (length(t_name) + length(r_name))
+        else greatest(0.9, shared::double / len(list_distinct(list_concat(tw, rw))),
+          case when shared = len(tw) and len(tw) >= 2 then 0.95 else 0 end) end::double as score
+    from met where t_phone = r_phone or t_address = r_address or d <= 120),
+  by_phone as (select target_id, record_pos, d from (select *, row_number() over (
+      partition by target_id order by d is not null, d, record_pos) as n
+    from pairs where t_phone = r_phone and (d is null or d <= 2000)) where n = 1),
+  by_address as (select target_id, record_pos, d from (select *, row_number() over (
+      partition by target_id order by d is not null, d, record_pos) as n
+    from pairs where t_address = r_address and (d is null or d <= 400) and (not differ or score >= 0.8)) where n = 1),
+  by_name as (select target_id, record_pos, d, score from (select *, row_number() over (
+      partition by target_id order by score desc, record_pos) as n
+    from pairs where d <= 120 and score >= case when differ then 0.8 else 0.55 end) where n = 1),
+  links as (select target_id, 'phone' as evidence, record_pos, d from by_phone
+    union all select target_id, 'address', record_pos, d from by_address
+      where target_id not in (select target_id from by_phone)
+    union all select target_id, 'name+position', record_pos, d from by_name
+      where target_id not in (select target_id from by_phone union select target_id from by_address))"""
+
+
+def _word(k):
+    return F.repeat(F.chr((98 + k % 12).cast("int")), 5)
+
+
+def _word_records(spark, sf_dir):
+    pos = F.col("record_pos")
+    return view(spark, sf_dir, "places_v").select(
+        "record_pos",
+        F.concat(_word(pos), F.lit(" "), _word(pos * 7 + 3)).alias("name"),
+        F.when(pos % 40 == 0, None).otherwise(F.col("latitude")).alias("lat"),
+        F.col("longitude").alias("lng"),
+        "phone",
+        F.col("formatted_address").alias("address"),
+    )
+
+
+def _word_targets(spark, sf_dir):
+    places = view(spark, sf_dir, "places_v")
+    key, pos = F.col("s_suppkey"), F.col("record_pos")
+    pair = lambda a, b: F.concat(_word(a), F.lit(" "), _word(b))
+    name = (
+        F.when(key % 5 == 0, pair(pos, pos * 7 + 3)).when(key % 5 == 1, _word(pos))
+        .when(key % 5 == 2, pair(pos * 7 + 3, pos)).when(key % 5 == 3, "zzzzz yyyyy").otherwise("")
+    )
+    phone = F.when(key % 6 == 0, F.col("phone")).when(
+        key % 6 == 1, F.concat(F.lit("+372 "), (9000000 + key).cast("string"))
+    )
+    joined = table(spark, sf_dir, "supplier").join(places, pos == 1 + (key * 13) % 1400)
+    return joined.select(
+        key.alias("target_id"),
+        name.alias("name"),
+        F.when(key % 23 == 0, None).otherwise(F.col("latitude") + (key % 4) * 0.0004).alias("lat"),
+        F.col("longitude").alias("lng"),
+        phone.alias("phone"),
+        F.when(key % 4 == 1, F.replace("formatted_address", F.lit(" tn "), F.lit(" "))).alias("address"),
+        (key % 17 == 0).alias("closed"),
+    )
+
+
+def _word_links(spark, sf_dir):
+    targets, records = linkage.split_closed(_word_targets(spark, sf_dir))[0], _word_records(spark, sf_dir)
+    return linkage.link(targets, records), targets, records
+
+
+@query(
+    "word_name_links",
+    f"with {_WORD_LINKS} select target_id, record_pos, round(d, 3) as distance_m, round(score, 6) as score from by_name",
+)
+def word_name_links(spark, sf_dir):
+    """The best name within reach, where words decide."""
+    targets = linkage.split_closed(_word_targets(spark, sf_dir))[0]
+    links = linkage.link_by_name(targets, _word_records(spark, sf_dir))
+    return links.select(
+        "target_id", "record_pos", F.round("distance_m", 3).alias("distance_m"), F.round("score", 6).alias("score")
+    )
+
+
+@query(
+    "word_waterfall",
+    f"with {_WORD_LINKS} select target_id, evidence, record_pos, round(d, 3) as distance_m from links",
+)
+def word_waterfall(spark, sf_dir):
+    """Phone, address with its veto, name: each stage only sees what is left."""
+    links, _, _ = _word_links(spark, sf_dir)
+    return links.withColumn("distance_m", F.round("distance_m", 3))
+
+
+@query(
+    "word_link_summary",
+    f"""with {_WORD_LINKS}, n as (select count(*) as curated, count(*) filter (where closed) as closed,
+        (select count(*) from links) as matched from {_WORD_TARGETS})
+    select curated, closed, matched, curated - closed - matched as missing, curated - closed as comparable,
+      round(100.0::double * matched / (curated - closed), 4) as match_pct from n""",
+)
+def word_link_summary(spark, sf_dir):
+    compared = linkage.compare(_word_targets(spark, sf_dir), _word_records(spark, sf_dir))
+    return linkage.link_summary(compared).withColumn("match_pct", F.round("match_pct", 4))
+
+
+@query(
+    "word_weak_names",
+    f"""with {_WORD_LINKS} select l.target_id, t_name as target_name, l.record_pos, r_name as record_name, evidence,
+      round(score, 6) as name_score
+    from links as l join pairs as p on p.target_id = l.target_id and p.record_pos = l.record_pos where score < 0.55""",
+)
+def word_weak_names(spark, sf_dir):
+    """Links by phone or address whose names alone would not have matched."""
+    links, targets, records = _word_links(spark, sf_dir)
+    return linkage.weak_names(links, targets, records).withColumn("name_score", F.round("name_score", 6))
+
+
+@query("word_evidence_counts", f"with {_WORD_LINKS} select evidence, count(*) as n from links group by evidence")
+def word_evidence_counts(spark, sf_dir):
+    return linkage.evidence_counts(_word_links(spark, sf_dir)[0])
+
+
+# Letters with marks fold to plain ones; some have no plain letter and part words.
+_MARKED = f"""(select record_pos, chr((192 + record_pos % 64)::int) || 'hb ' || chr((256 + record_pos % 48)::int)
+    || 'n' || name as name from {_PLACES})"""
+
+
+@query(
+    "folded_names",
+    f"""select record_pos, trim(regexp_replace(strip_accents(lower(name)), '[^a-z0-9]+', ' ', 'g')) as norm
+    from {_MARKED}""",
+)
+def folded_names(spark, sf_dir):
+    pos = F.col("record_pos")
+    letter = lambda code: F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+    name = F.concat(letter(192 + pos % 64), F.lit("hb "), letter(256 + pos % 48), F.lit("n"), F.col("name"))
+    return view(spark, sf_dir, "places_v").select("record_pos", name_norm(name).alias("norm"))
+
+
 # Diagnosis treats every curated record as a miss: some lack a position, some
 # lie far from all cells, the rest near the logged cells.
 _MISSES = f"""(select target_id, case when target_id % 10 = 0 then null

@@ -347,6 +347,44 @@ def payload_upsert(spark, sf_dir):
     return store.places().select("place_id", *_NEWEST, "first_seen_at", "last_seen_at")
 
 
+@query(
+    "keyed_rows",
+    f"""select place_id, count(*) as n_seen, max(seen_at) as last_seen_at
+    from (select * replace (case ingest_seq % 9 when 0 then null when 1 then '' else place_id end as place_id)
+      from {_OBSERVED}) where coalesce(place_id, '') <> '' group by place_id""",
+)
+def keyed_rows(spark, sf_dir):
+    """Rows without a key are left out before the fold."""
+    seq = F.col("ingest_seq")
+    key = F.when(seq % 9 == 0, None).when(seq % 9 == 1, "").otherwise(F.col("place_id"))
+    observed = view(spark, sf_dir, "observations_v").withColumn("place_id", key)
+    places = fold.places_of(fold.fold_observations(observed))
+    counts = observed.where(filters.has_key(F.col("place_id"))).groupBy("place_id").agg(F.count("*").alias("n_seen"))
+    return places.join(counts, "place_id").select("place_id", "n_seen", "last_seen_at")
+
+
+@query(
+    "bar_by_tier",
+    f"""select tier, tier in ('ids', 'standard') as refused, count(*) as n_results,
+      count(case when tier not in ('ids', 'standard') then user_rating_count end) as n_with_review_count,
+      count(case when tier not in ('ids', 'standard') then user_rating_count end) > 0 as bar_usable
+    from {_PLACES}, (values ('ids'), ('standard'), ('ratings'), ('full')) as t(tier) group by tier""",
+)
+def bar_by_tier(spark, sf_dir):
+    """Which field tiers refuse a review bar, and what the tier leaves of the counts it needs."""
+    found = None
+    for tier in fixed.TIERS:
+        try:
+            normalize.check_review_bar(tier, 25)
+            refused = False
+        except ValueError:
+            refused = True
+        profile = normalize.payload_profile(normalize.project_tier(place_rows(spark, sf_dir), tier))
+        row = profile.select(F.lit(tier).alias("tier"), F.lit(refused).alias("refused"), "*")
+        found = row if found is None else found.unionByName(row)
+    return found
+
+
 # --- ordering, summaries, exports -------------------------------------------
 
 _FOLD_NAME = (

@@ -317,7 +317,31 @@ def sweep_to_store(spark, sf_dir):
     return store.places().select("place_id", "name", "user_rating_count", "primary_type", "latitude")
 
 
-@query("adaptive_cover")
+def _levels(last: int) -> str:
+    """The levels of a census one after the other, each from the split cells of the one before."""
+    parts = [f"l0 as materialized (select queue_pos, lat, lng, radius_m, depth from {CELLS})"]
+    for level in range(last + 1):
+        found = judged(hits(f"l{level}", DISTANCE_ORDER), 0)
+        parts.append(f"h{level} as materialized (select * from {found})")
+        parts.append(f"o{level} as materialized (select * from {outcomes(f'l{level}', f'h{level}', 0, last)})")
+        if level < last:
+            below = children(f"(select * from o{level} where split)")
+            parts.append(f"""l{level + 1} as materialized (
+              select min(queue_pos) as queue_pos, arg_min(lat, queue_pos) as lat, arg_min(lng, queue_pos) as lng,
+                arg_min(radius_m, queue_pos) as radius_m, arg_min(depth, queue_pos) as depth
+              from {below} group by round_even(lat * 1e6, 0), round_even(lng * 1e6, 0), round_even(radius_m * 10, 0))""")
+    return ", ".join(parts)
+
+
+_CENSUS = " union all ".join(f"select place_id, {n} as level, queue_pos from h{n} where kept" for n in range(7))
+
+
+@query(
+    "adaptive_cover",
+    f"""with {_levels(6)}, seen as ({_CENSUS}),
+      first as (select place_id, min(level) as level from seen group by place_id)
+    select place_id, level, min(queue_pos) as queue_pos from seen join first using (place_id, level) group by all""",
+)
 def adaptive_cover(spark, sf_dir):
     """A full census of the places: every place found, and the level that found it."""
     settings = sweep.SweepSettings()
@@ -328,6 +352,21 @@ def adaptive_cover(spark, sf_dir):
     return sweep.first_sightings(result)
 
 
+@query(
+    "queue_order_free",
+    f"""with {_TWO} select round(lat, 6) as lat, round(lng, 6) as lng, depth, result_count, split
+    from both_levels""",
+)
+def queue_order_free(spark, sf_dir):
+    """The same two levels with the queue turned round: the same cells, counts and splits."""
+    settings = sweep.SweepSettings(min_reviews=25, max_depth=1)
+    turned = box_cells(spark, sf_dir).withColumn("queue_pos", F.lit(1 << 40) - F.col("queue_pos"))
+    result = sweep.run_sweep(turned, sweep.place_table_search(view(spark, sf_dir, "places_v"), settings), settings)
+    return result.log.select(
+        F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), "depth", "result_count", "split"
+    )
+
+
 @query(
     "landed_sweep_step",
     f"""with h as (select * from {hits(CELLS, DISTANCE_ORDER)} where queue_pos % 7 <> 3),
@@ -430,6 +469,29 @@ def cell_log_latest(spark, sf_dir):
     return sweep.latest_log(log).drop("lat", "lng", "radius_m")
 
 
+_LOGGED = f"""(select *, row_number() over (
+    partition by coalesce(scope, 'restaurant'), lat_e6, lng_e6, radius_dm order by searched_at desc, seq % 2 desc) as n
+  from {_KEYED})"""
+
+
+@query(
+    "cell_log_table",
+    f"""select coalesce(scope, 'restaurant') as scope, lat_e6, lng_e6, radius_dm, result_count, saturated, split,
+      searched_at from {_LOGGED} where n = 1""",
+)
+def cell_log_table(spark, sf_dir):
+    """Two appends and a resume read of a stored log; what it held before a reset is gone."""
+    log = CellLog(spark, scratch_path(spark, "cell-log"))
+    rows = view(spark, sf_dir, "cell_log_v")
+    log.append(rows.limit(10).drop("seq").withColumn("result_count", F.lit(-1).cast("bigint")))
+    log.reset()
+    log.append(rows.where("seq % 2 = 0").drop("seq"))
+    log.append(rows.where("seq % 2 = 1").drop("seq"))
+    return log.latest().select(
+        "scope", *CELL_KEY, "result_count", "saturated", "split", "searched_at"
+    )
+
+
 @query(
     "migrate_scope",
     f"""select seq, case when instr(cell_key, '|') = 0 then 'restaurant|' || cell_key
