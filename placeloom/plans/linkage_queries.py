@@ -335,7 +335,8 @@ _WORD_LINKS = f"""
     list_distinct(list_filter(string_split(name, ' '), lambda w: w <> '')) as tw
     from {_WORD_TARGETS} where not closed),
   met as (select target_id, record_pos, t_phone, r_phone, t_address, r_address, t.name as t_name, r.name as r_name,
-      tw, rw, len(list_intersect(tw, rw)) as shared, {hav('t.lat', 't.lng', 'r.lat', 'r.lng')} as d
+      tw, rw, len(list_intersect(tw, rw)) as shared,
+      case when t.lat is not null and r.lat is not null then {hav('t.lat', 't.lng', 'r.lat', 'r.lng')} end as d
     from t, r),
   pairs as materialized (select *, coalesce(t_phone <> r_phone, false) as differ,
       case when len(tw) = 0 or len(rw) = 0 then 0
