@@ -118,6 +118,29 @@ def cover_disc(areas: DataFrame) -> DataFrame:
     return cover_bbox(_disc_boxes(areas)).where(touches_area())
 
 
+def within_limit(cells: DataFrame, limit_m: float = fixed.MAX_SEARCH_RADIUS_M) -> DataFrame:
+    """Cells with those wider than a search may be replaced by a cover of smaller ones.
+
+    A search is cut off at ``limit_m``, so a wider cell would leave a ring unsearched.
+    ``part`` numbers the cells that stand for one; it is 0 for a cell kept as it is.
+    """
+    wide = F.col("radius_m") > limit_m
+    named = [c for c in cells.columns if c not in ("lat", "lng", "radius_m", "depth", "queue_pos")]
+    kept = cells.where(~wide).withColumn("part", F.lit(0).cast("bigint"))
+    areas = cells.where(wide).select(
+        F.struct("queue_pos", "depth", *named).alias("_of"),
+        F.xxhash64("queue_pos", "lat", "lng").alias("area_id"),
+        F.col("lat").alias("center_lat"),
+        F.col("lng").alias("center_lng"),
+        F.col("radius_m").alias("area_radius_m"),
+        F.lit(float(limit_m)).alias("cell_radius_m"),
+    )
+    parts = cover_disc(areas).select(
+        "_of.*", "lat", "lng", "radius_m", (F.col("queue_pos") + 1).alias("part")
+    )
+    return kept.unionByName(parts.select(*kept.columns))
+
+
 def split_children(cells: DataFrame) -> DataFrame:
     """Four half-offset children per cell, in order, one level deeper.
 

@@ -24,7 +24,6 @@ from placeloom.operators.skew import BROADCAST_ROWS, SIDE_ROWS, balanced_join
 # Metres per degree used for bucket sizes and boxes.  Must not exceed what the
 # distance formula implies (about 111,195), or boxes lose points on the edge.
 _BOX_M_PER_DEGREE = 111_000.0
-_POLAR_LAT = 89.5
 GRID_KEY = ["g_class", "g_row", "g_col"]
 
 
@@ -45,10 +44,8 @@ def _row_height(g_class: Column) -> Column:
 def _columns_in_row(g_row: Column, g_class: Column) -> Column:
     height = _row_height(g_class)
     poleward = F.greatest(F.abs(g_row * height), F.abs((g_row + 1) * height))
-    around = F.floor(F.lit(360.0) * F.cos(F.radians(poleward)) / height)
-    return F.when(poleward >= _POLAR_LAT, F.lit(1)).otherwise(
-        F.greatest(F.lit(1), around)
-    ).cast("bigint")
+    around = F.floor(F.lit(360.0) * F.cos(F.radians(F.least(poleward, F.lit(90.0)))) / height)
+    return F.greatest(F.lit(1), around).cast("bigint")
 
 
 def _column_of(lng: Column, columns: Column) -> Column:
@@ -56,17 +53,23 @@ def _column_of(lng: Column, columns: Column) -> Column:
     return F.pmod(F.floor(turn * columns), columns)
 
 
-# A circle's box touches at most 3 rows of at most 4 columns; near a pole, where
-# a circle may list whole rows, rows have few columns.
-_BUCKETS_PER_CIRCLE = 12
+# No circle lists more buckets: its box touches at most 3 rows, and of each at most 5
+# columns, or, within three rows of a pole, where a row has no more, 18.
+MOST_BUCKETS = 54
 
 
 @dataclass(frozen=True)
 class CircleProfile:
-    """What a join must know about its circles: how many, and which classes."""
+    """What a join must know about its circles: how many, which classes, how many buckets they list."""
 
     count: int
     classes: tuple[int, ...]
+    buckets: int | None = None
+
+    @property
+    def rows(self) -> int:
+        """A bound of the rows that ``bucket_circles`` makes: exact if counted."""
+        return self.count * MOST_BUCKETS if self.buckets is None else self.buckets
 
 
 def class_set(radius: Column) -> Column:
@@ -80,9 +83,12 @@ def search_radius(radius: Column, max_radius_m: float | None) -> Column:
     return F.when(radius > max_radius_m, F.lit(max_radius_m)).otherwise(radius)
 
 
-def profile_circles(circles: DataFrame, radius: Column) -> CircleProfile:
-    row = circles.agg(F.count("*").alias("n"), class_set(radius).alias("k")).first()
-    return CircleProfile(row.n, tuple(sorted(row.k)))
+def profile_circles(circles: DataFrame, radius: Column, lat: str = "lat", lng: str = "lng") -> CircleProfile:
+    n = F.aggregate(_spans(F.col(lat), F.col(lng), radius), F.lit(0).cast("bigint"), lambda x, s: x + s["listed"])
+    row = circles.agg(
+        F.count("*").alias("n"), class_set(radius).alias("k"), F.coalesce(F.sum(n), F.lit(0)).alias("buckets")
+    ).first()
+    return CircleProfile(row.n, tuple(sorted(row.k)), row.buckets)
 
 
 def bucket_points(points: DataFrame, lat: str, lng: str, classes: list[int]) -> DataFrame:
@@ -103,38 +109,35 @@ def bucket_points(points: DataFrame, lat: str, lng: str, classes: list[int]) ->
     ).drop("_k")
 
 
+def _spans(lat: Column, lng: Column, radius: Column) -> Column:
+    """The rows a circle's bounding box touches: per row its number of columns, the first and how many are listed."""
+    g_class = radius_class(radius)
+    reach = radius / F.lit(_BOX_M_PER_DEGREE)
+    height = _row_height(g_class)
+    rows = F.sequence(F.floor((lat - reach) / height), F.floor((lat + reach) / height))
+    # Where the circle is widest in longitude, unless it holds the pole.
+    widest = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(reach)) / F.cos(F.radians(lat)))))
+    half = F.when(reach + F.abs(lat) >= 90.0, F.lit(180.0)).otherwise(widest + 1e-9)
+
+    def span(row: Column) -> Column:
+        n = _columns_in_row(row, g_class)
+        turn = lambda x: F.floor((x + 180.0) / 360.0 * n)
+        first = turn(lng - half)
+        listed = F.least(turn(lng + half) - first + 1, n)
+        return F.struct(row.alias("row"), n.alias("n"), first.alias("first"), listed.alias("listed"))
+
+    return F.transform(rows, span)
+
+
 def bucket_circles(circles: DataFrame, lat: str, lng: str, radius: Column) -> DataFrame:
     """Every bucket a circle's bounding box touches, in its own radius class."""
     lat_c, lng_c = F.col(lat), F.col(lng)
-    reach = radius / F.lit(_BOX_M_PER_DEGREE)
-    south, north = lat_c - reach, lat_c + reach
-    height = _row_height(radius_class(radius))
-    rows = F.sequence(F.floor(south / height), F.floor(north / height))
     keyed = circles.where(lat_c.isNotNull() & lng_c.isNotNull() & radius.isNotNull()).select(
-        "*", radius_class(radius).alias("g_class"), F.explode(rows).alias("g_row")
-    )
-    edge = F.greatest(F.abs(south), F.abs(north))
-    half_width = F.when(edge >= _POLAR_LAT, F.lit(360.0)).otherwise(
-        reach / F.cos(F.radians(edge))
-    )
-    keyed = keyed.select(
-        "*",
-        _columns_in_row(F.col("g_row"), F.col("g_class")).alias("_n"),
-        half_width.alias("_half"),
-    )
-    n, half = F.col("_n"), F.col("_half")
-    turn = lambda x: F.floor((x + 180.0) / 360.0 * n)
-    first, last = turn(lng_c - half), turn(lng_c + half)
-    whole_row = (last - first + 1 >= n) | (half >= 180.0)
-    span = F.when(whole_row, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(
-        F.sequence(first, last)
-    )
-    return keyed.select(
-        *circles.columns,
-        "g_class",
-        "g_row",
-        F.explode(F.transform(span, lambda c: F.pmod(c, n))).alias("g_col"),
+        "*", radius_class(radius).alias("g_class"), F.explode(_spans(lat_c, lng_c, radius)).alias("_span")
     )
+    s = F.col("_span")
+    columns = F.transform(F.sequence(F.lit(0).cast("bigint"), s["listed"] - 1), lambda k: F.pmod(s["first"] + k, s["n"]))
+    return keyed.select(*circles.columns, "g_class", s["row"].alias("g_row"), F.explode(columns).alias("g_col"))
 
 
 def within_circles(
@@ -159,7 +162,7 @@ def within_circles(
     lat, lng, radius_name = circle_at
     radius = search_radius(F.col(radius_name), max_radius_m)
     if profile is None:
-        profile = profile_circles(circles, radius)
+        profile = profile_circles(circles, radius, lat, lng)
     left = bucket_circles(circles, lat, lng, radius)
     right = bucket_points(points, point_at[0], point_at[1], list(profile.classes) or [0])
     pairs = balanced_join(
@@ -170,7 +173,7 @@ def within_circles(
         point_id,
         broadcast_rows,
         side_rows,
-        left_rows=profile.count * _BUCKETS_PER_CIRCLE,
+        left_rows=profile.rows,
     )
     distance = haversine_m(F.col(lat), F.col(lng), F.col(point_at[0]), F.col(point_at[1]))
     return pairs.withColumn("distance_m", distance).where(

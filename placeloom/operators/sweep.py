@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from placeloom import fixed
 from placeloom.functions.geo import CELL_KEY, with_cell_identity
-from placeloom.operators.cover import split_children
+from placeloom.operators.cover import split_children, within_limit
 from placeloom.operators.filters import below_bar, has_key, wanted_kind
 from placeloom.operators.grid import CircleProfile, class_set, search_radius
 from placeloom.operators.numbering import first_rows, number_rows
@@ -284,10 +284,21 @@ def start_frontier(cells: DataFrame) -> DataFrame:
 
     Covers number the cells of each area on their own.  Cells of several areas are
     numbered anew, area by area; without ``area_id`` repeated numbers are an error,
-    because results, claims and counters are kept by them.
+    because results, claims and counters are kept by them.  Cells wider than a search
+    reaches are replaced by covers of cells that are not, and all are numbered anew.
     """
-    n = cells.agg(F.count("*").alias("rows"), F.count_distinct("queue_pos").alias("numbers")).first()
-    if n.rows != n.numbers:
+    n = cells.agg(
+        F.count("*").alias("rows"),
+        F.count_distinct("queue_pos").alias("numbers"),
+        F.count_if(F.col("radius_m") > fixed.MAX_SEARCH_RADIUS_M).alias("wide"),
+    ).first()
+    if n.wide:
+        order = [c for c in ("area_id", "queue_pos", "part") if c == "part" or c in cells.columns]
+        if n.rows != n.numbers and "area_id" not in cells.columns:
+            raise ValueError("queue_pos repeats and there is no area_id to tell cells apart")
+        parted = within_limit(cells).withColumnRenamed("queue_pos", "_area_pos")
+        cells = number_rows(parted, [F.col("_area_pos" if c == "queue_pos" else c) for c in order], "queue_pos")
+    elif n.rows != n.numbers:
         if "area_id" not in cells.columns:
             raise ValueError("queue_pos repeats and there is no area_id to tell cells apart")
         cells = number_rows(

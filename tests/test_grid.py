@@ -4,8 +4,9 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from placeloom.operators.grid import within_circles
+from placeloom.operators.grid import MOST_BUCKETS, bucket_circles, profile_circles, within_circles
 from placeloom.operators.skew import balanced_join
 from test_geo import haversine
 
@@ -51,6 +52,25 @@ REGIONS = {
 }
 
 
+REGIONS["below the pole"] = (89.49, 89.51, -180.0, 180.0, [100.0, 700.0, 1100.0])
+REGIONS["at the pole"] = (89.98, 90.0, -180.0, 180.0, [60.0, 500.0, 1000.0])
+
+
+def test_no_circle_lists_more_buckets_than_stated(spark):
+    """The count is exact, and small wherever the circle lies."""
+    rng = random.Random(6)
+    lats = [0.0, 60.0, 89.0, 89.4995, 89.5, 89.99, 89.9999, 90.0, -89.4995, -90.0]
+    lats += [90 - 10 ** rng.uniform(-6, 1) for _ in range(400)]
+    radii = [1.0, 1.01, 64.0, 65.0, 100.0, 999.0, 1024.0, 50_000.0, 33_000.0]
+    rows = [(k, lat, rng.choice([180.0, -180.0, 179.99, 0.0, 24.7]), rng.choice(radii)) for k, lat in enumerate(lats)]
+    circles = spark.createDataFrame(rows, CIRCLE)
+    listed = bucket_circles(circles, "lat", "lng", F.col("radius_m"))
+    counts = {r.c: r["count"] for r in listed.groupBy("c").count().collect()}
+    assert max(counts.values()) <= MOST_BUCKETS
+    assert max(n for c, n in counts.items() if abs(rows[c][1]) <= 89.0 and rows[c][3] <= 1024) <= 15
+    assert listed.distinct().count() == listed.count() == profile_circles(circles, F.col("radius_m")).buckets
+
+
 @pytest.mark.parametrize("region", sorted(REGIONS))
 @pytest.mark.parametrize("broadcast_rows", [200_000, 0])
 def test_same_pairs_as_brute_force(spark, region, broadcast_rows):

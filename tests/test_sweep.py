@@ -275,3 +275,21 @@ def test_nothing_behind_a_budget_cut_is_skipped(spark):
     settings = sweep.SweepSettings(budget=1, max_depth=0)
     totals = sweep.run_sweep(cells, sweep.place_table_search(places, settings), settings).totals()
     assert (totals["cells_searched"], totals["cells_skipped"]) == (1, 0)
+
+
+@pytest.mark.parametrize("lat,radius", [(59.0, 120_000.0), (72.0, 60_000.0), (0.0, 400_000.0)])
+def test_wide_cells_leave_no_ring(spark, lat, radius):
+    """Every point of a cell wider than a search reaches lies in one of the cells that replace it."""
+    cells = spark.createDataFrame(
+        [(0, lat, 20.0, radius, 0), (1, lat, 20.0, 900.0, 0)], "queue_pos bigint, lat double, lng double, radius_m double, depth int"
+    )
+    start = sweep.start_frontier(cells).collect()
+    assert sorted(r.queue_pos for r in start) == list(range(len(start)))
+    assert max(r.radius_m for r in start) <= 50_000.0 and sum(r.radius_m == 900.0 for r in start) == 1
+    rng, missed, tried = random.Random(1), 0, 0
+    while tried < 3000:
+        p = (lat + rng.uniform(-radius, radius) / 111_000, 20.0 + rng.uniform(-radius, radius) / 111_000 / math.cos(math.radians(lat + 1)))
+        if haversine(lat, 20.0, *p) <= radius:
+            tried += 1
+            missed += not any(haversine(r.lat, r.lng, *p) <= r.radius_m for r in start)
+    assert missed == 0
