@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +17,9 @@ BROADCAST_ROWS = 200_000
 SIDE_ROWS = 10_000
 # A key with more rows than this on either side is cut, however few it meets.
 KEY_ROWS = 1_000_000
+# Keys that a sketch reports, and that it keeps counters for: one with more than a few
+# ten-thousandths of the rows is never missed.
+FREQUENT_KEYS, TRACKED_KEYS = 1_000, 100_000
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -36,32 +41,37 @@ def balanced_join(
 
     A side that is small (counted here, or for ``left`` bounded by the caller's
     count ``left_rows``) is broadcast and the other is never shuffled.
-    Otherwise the rows per key are counted on both sides with map-side combine;
-    a key with too many rows on one side, or whose two sides multiply to more
-    than ``side_rows`` squared, is cut into ``l x r`` blocks, each side salted
-    by its own row identity and repeated for the other side's salts, so every
-    pair still meets exactly once.
+    Otherwise each side is evaluated once: it is written, and the same write counts
+    its rows and sketches its most frequent keys.  A key with too many rows on one
+    side, or whose two sides multiply to more than ``side_rows`` squared, is cut into
+    ``l x r`` blocks, each side salted by its own row identity and repeated for the
+    other side's salts, so every pair still meets exactly once.  Keys that the sketch
+    misses are less frequent than any it reports, and skewed partitions among them are
+    left to adaptive execution.
     """
     keys = list(keys)
-    small = is_small(left, broadcast_rows) if left_rows is None else left_rows <= broadcast_rows
-    if small:
+    if left_rows is None:
+        left, l = _written(left, keys)
+        left_rows = l.rows
+    elif left_rows > broadcast_rows:
+        left, l = _written(left, keys)
+    if left_rows <= broadcast_rows:
         return right.join(F.broadcast(left), keys)
-    if is_small(right, broadcast_rows):
+    right, r = _written(right, keys)
+    if r.rows <= broadcast_rows:
         return left.join(F.broadcast(right), keys)
 
-    hot, found = materialize_with(
-        hot_keys(left, right, keys, side_rows), "hot", keys=F.count(F.lit(1))
-    )
-    if not found["keys"]:
+    hot = _hot(l, r, side_rows)
+    if not hot:
         return left.hint("merge").join(right, keys)
-    # The hot keys are at most the rows of a side over the smallest hot group.
-    hot = F.broadcast(hot) if found["keys"] <= BROADCAST_ROWS else hot.hint("merge")
+    # At most twice the keys that a sketch reports.
+    hot = F.broadcast(left.sparkSession.createDataFrame(hot, "_hash bigint, _l_blocks int, _r_blocks int"))
 
     def blocks(df: DataFrame, identity: Sequence[str], mine: str, other: str) -> DataFrame:
         # Keys that are not hot keep one block, 0 x 0.
         own = F.pmod(F.xxhash64(*identity), F.coalesce(F.col(f"{mine}_blocks"), F.lit(1)))
         copies = F.sequence(F.lit(0), F.coalesce(F.col(f"{other}_blocks"), F.lit(1)) - 1)
-        return df.join(hot, keys, "left").select(
+        return df.withColumn("_hash", F.xxhash64(*keys)).join(hot, "_hash", "left").select(
             *df.columns,
             own.cast("int").alias(f"{mine}_block"),
             F.explode(copies).alias(f"{other}_block"),
@@ -73,15 +83,32 @@ def balanced_join(
     return left_blocks.hint("merge").join(right_blocks, cut).drop("_l_block", "_r_block")
 
 
-def hot_keys(left: DataFrame, right: DataFrame, keys: list[str], side_rows: int) -> DataFrame:
-    """Keys too heavy for one task, with the number of blocks for each side."""
-    n_left, n_right = F.col("_n_left"), F.col("_n_right")
-    counts = left.groupBy(keys).agg(F.count("*").alias("_n_left")).join(
-        right.groupBy(keys).agg(F.count("*").alias("_n_right")), keys
-    )
-    too_many_pairs = n_left.cast("double") * n_right > float(side_rows) * side_rows
-    return counts.where(too_many_pairs | (F.greatest(n_left, n_right) > KEY_ROWS)).select(
-        *keys,
-        F.ceil(n_left / side_rows).cast("int").alias("_l_blocks"),
-        F.ceil(n_right / side_rows).cast("int").alias("_r_blocks"),
-    )
+@dataclass(frozen=True)
+class _Side:
+    """Rows of a side, and of its most frequent keys, by hash, about how many have each."""
+
+    rows: int
+    frequent: dict[int, int]
+
+    def count(self, key: int) -> int:
+        """For a key that is not reported: no more than the least frequent one that is."""
+        rest = min(self.frequent.values()) if len(self.frequent) >= FREQUENT_KEYS else 1
+        return self.frequent.get(key, rest)
+
+
+def _written(df: DataFrame, keys: list[str]) -> tuple[DataFrame, _Side]:
+    """``df`` written once, with what the write counted."""
+    named = ", ".join(f"`{k}`" for k in keys)
+    sketch = F.expr(f"approx_top_k(xxhash64({named}), {FREQUENT_KEYS}, {TRACKED_KEYS})")
+    df, seen = materialize_with(df, "side", n=F.count(F.lit(1)), frequent=sketch)
+    return df, _Side(seen["n"], {r["item"]: r["count"] for r in seen["frequent"] or []})
+
+
+def _hot(left: _Side, right: _Side, side_rows: int) -> list[tuple[int, int, int]]:
+    """Keys too heavy for one task: hash, blocks of the left side, blocks of the right."""
+    found = []
+    for key in {*left.frequent, *right.frequent}:
+        l, r = left.count(key), right.count(key)
+        if l * r > side_rows * side_rows or max(l, r) > KEY_ROWS:
+            found.append((key, math.ceil(l / side_rows), math.ceil(r / side_rows)))
+    return found

@@ -104,6 +104,17 @@ def test_no_cartesian_product(spark):
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_both_sides_are_read_once(spark, tmp_path):
+    """Counting rows, finding hot keys and joining take one scan of each side's source."""
+    for name, rows in (("l", spark.range(400)), ("r", spark.range(900))):
+        rows.selectExpr(f"id as {name}", "if(id < 200, 0, id) as k").write.parquet(f"{tmp_path}/{name}")
+    left, right = (spark.read.parquet(f"{tmp_path}/{name}") for name in "lr")
+    joined = balanced_join(left, right, ["k"], ["l"], ["r"], broadcast_rows=0, side_rows=16)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert str(tmp_path) not in plan and plan.count("side-") >= 2
+    assert joined.count() == left.join(right, "k").count()
+
+
 def test_hot_keys_are_cut_and_whole(spark):
     """One key holds most rows of both sides; every pair still meets once."""
     left = spark.range(300).selectExpr("id as l", "if(id < 200, 0, id) as k")
