@@ -381,8 +381,8 @@ def run_sweep(
     """Sweep breadth-first until nothing is left to split or the budget ends.
 
     ``log`` is the resume log of earlier runs (any scope), ``known_ids`` the
-    place ids already stored.  ``as_of`` is the time the cells are logged with, by
-    default that of the run.  The budget counts searches of this run only;
+    place ids already stored.  ``as_of`` is the time the cells are logged with; without
+    it that is the time of the run, and a rerun logs another.  The budget counts searches of this run only;
     skipped cells are free.  Per level three narrow tables are written to the
     shared folder, so lineage never grows with depth.
     """

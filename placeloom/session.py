@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+# Where it is unset, in local mode: that setting itself cannot be changed any more.
+_LOCAL_KEY = "placeloom.scratch.dir"
 
 
 def build_session(app: str = "placeloom", master: str | None = None, **extra: str) -> SparkSession:
@@ -36,20 +38,35 @@ def shared_root(spark: SparkSession) -> str:
     A machine-local folder is used only in local mode, where there is one
     machine; on a cluster the setting is required.
     """
-    configured = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(
-        _CHECKPOINT_KEY
+    configured = (
+        spark.conf.get(_CHECKPOINT_KEY, None)
+        or spark.sparkContext.getConf().get(_CHECKPOINT_KEY)
+        or spark.conf.get(_LOCAL_KEY, None)
     )
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder every executor can reach")
     folder = tempfile.mkdtemp(prefix="placeloom-")
-    spark.conf.set(_CHECKPOINT_KEY, folder)
+    spark.conf.set(_LOCAL_KEY, folder)
     return folder
 
 
+def _own_scratch(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/placeloom/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/placeloom/{label}-{uuid.uuid4().hex}"
+    return f"{_own_scratch(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all scratch of this application, for when its results are saved elsewhere.
+
+    Results are lazy and may read scratch: one not saved yet is lost.  A job that runs on
+    and on removes what each of its batches wrote by ``remove_path``.
+    """
+    remove_path(spark, _own_scratch(spark))
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from placeloom import fixed
 from placeloom.operators import filters, fold, normalize, report
+from placeloom import session
 from placeloom.operators import numbering
 from placeloom.operators.numbering import first_rows, number_rows
 from placeloom.schemas import CELL_LOG, OBSERVATION
@@ -309,6 +310,23 @@ def test_first_rows_by_heap_by_cut_and_by_partition(spark, monkeypatch):
     assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan
 
 
+def test_scratch_of_the_application_can_be_cleared(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_root", lambda _: str(tmp_path))
+    assert session.materialize(spark.range(5), "five").count() == 5
+    assert session.list_folders(spark, f"{tmp_path}/placeloom") == [spark.sparkContext.applicationId]
+    session.clear_scratch(spark)
+    session.clear_scratch(spark)
+    assert session.list_folders(spark, f"{tmp_path}/placeloom") == []
+    assert session.list_folders(spark, f"{tmp_path}/nothing") == []
+
+
+def test_scratch_without_a_setting(spark, monkeypatch):
+    monkeypatch.setattr(session, "_CHECKPOINT_KEY", "placeloom.unset.key")
+    folder = session.shared_root(spark)
+    assert folder == session.shared_root(spark) and os.path.isdir(folder)
+    spark.conf.unset(session._LOCAL_KEY)
+
+
 def test_summaries_of_nothing(spark):
     empty = PlaceStore(spark, "/tmp/placeloom-no-such-store").places()
     assert report.dataset_summary(empty).first().asDict() == {
