@@ -36,12 +36,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from placeloom.llm.sizes import giving_back
 from placeloom.llm.suffix_arrays import common_prefixes, suffix_order
 from placeloom.session import shuffle_width
 
 # Text bytes of a block, and bytes of a shard of a bucket.
 BLOCK_BYTES = 2 << 20
 SHARD_BYTES = 1 << 20
+# Text bytes that a bucket of marks stands for, about: what one task of a bucket holds.
+BUCKET_BYTES = 8 << 20
 # Windows of a stretch, at most: a text that repeats one byte has one mark all along.
 _STRETCH = 64
 # Bits of a mark that are kept besides its bucket.
@@ -424,7 +427,7 @@ def remove_repeats(
     kept = {c: f"c{k}" for k, c in enumerate(docs.columns) if c not in (text, *added)}
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     total = docs.select(F.sum(F.octet_length(body)).alias("n")).first().n or 0
-    blocks, buckets = -(-total // BLOCK_BYTES) or 1, shuffle_width(spark)
+    blocks, buckets = -(-total // BLOCK_BYTES) or 1, max(shuffle_width(spark), -(-total // BUCKET_BYTES))
     identity = F.col(f"`{doc_id}`").cast("long")
     dealt = docs.select(
         *[F.col(f"`{c}`").alias(own) for c, own in kept.items()],
@@ -435,22 +438,22 @@ def remove_repeats(
     # The same exchange serves all three uses of the documents.
     by_block = dealt.groupBy("_sx_block")
     flags = (
-        by_block.applyInArrow(_send_marks(rules, buckets), "_sx_block long, bucket int, marks binary")
+        by_block.applyInArrow(giving_back(_send_marks(rules, buckets)), "_sx_block long, bucket int, marks binary")
         .groupBy("bucket")
-        .applyInArrow(_shared_marks, "_sx_block long, bucket int, marks binary")
+        .applyInArrow(giving_back(_shared_marks), "_sx_block long, bucket int, marks binary")
     )
     spans = (
         by_block.cogroup(flags.groupBy("_sx_block"))
         .applyInArrow(
-            _send_stretches(rules, buckets),
+            giving_back(_send_stretches(rules, buckets)),
             "_sx_block long, bucket int, texts binary, windows binary, holders binary, ids binary, places binary",
         )
         .groupBy("bucket")
-        .applyInArrow(_find_spans(rules), "_sx_block long, starts binary, ends binary")
+        .applyInArrow(giving_back(_find_spans(rules)), "_sx_block long, starts binary, ends binary")
     )
     fields = [dealt.schema[c] for c in (*kept.values(), "_sx_text")]
     fields += [T.StructField(f"_sx_out_{name}", kind) for name, kind in added.items()]
     schema = T.StructType(fields)
-    out = by_block.cogroup(spans.groupBy("_sx_block")).applyInArrow(_trim(rules, to_arrow_schema(schema)), schema)
+    out = by_block.cogroup(spans.groupBy("_sx_block")).applyInArrow(giving_back(_trim(rules, to_arrow_schema(schema))), schema)
     named = [F.col(kept.get(c, "_sx_text")).alias(c) for c in docs.columns if c in (*kept, text)]
     return out.select(*named, *[F.col(f"_sx_out_{name}").alias(name) for name in added])

@@ -29,10 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from placeloom.llm.sizes import giving_back
 from placeloom.session import materialize, shuffle_width
 
 # Text bytes of a block: bounds the memory of a task.
 BLOCK_BYTES = 4 << 20
+# Text bytes whose pre-tokens a bucket stands for, about.
+BUCKET_BYTES = 16 << 20
 
 
 @lru_cache(maxsize=4)
@@ -194,16 +197,18 @@ def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     out = T.StructType(
         [T.StructField("doc_id", id_type), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]
     )
+    total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(shuffle_width(spark), -(-total // BUCKET_BYTES))
     # Written once: both uses must see the same blocks, also after a lost executor.
-    blocks = materialize(named.mapInArrow(_cut(shuffle_width(spark), _arrow(wide)), wide), "token-blocks")
+    blocks = materialize(named.mapInArrow(_cut(buckets, _arrow(wide)), wide), "token-blocks")
     pieces = (
         blocks.where(F.col("bucket") >= 0)
         .select("block", "bucket", "tokens")
         .groupBy("bucket")
-        .applyInArrow(_count(tokenizer, _arrow(counted)), counted)
+        .applyInArrow(giving_back(_count(tokenizer, _arrow(counted))), counted)
     )
     postings = blocks.where(F.col("bucket") < 0).drop("bucket", "tokens")
-    return postings.groupBy("block").cogroup(pieces.groupBy("block")).applyInArrow(_sum(_arrow(out)), out)
+    return postings.groupBy("block").cogroup(pieces.groupBy("block")).applyInArrow(giving_back(_sum(_arrow(out))), out)
 
 
 def _arrow(schema: T.StructType) -> pa.Schema:
