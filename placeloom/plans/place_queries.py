@@ -11,7 +11,7 @@ from placeloom.operators import filters, fold, normalize, report
 from placeloom.operators.numbering import number_rows
 from placeloom.plans.check_sql import words
 from placeloom.plans.registry import query
-from placeloom.plans.views import stream, table, view, view_sql
+from placeloom.plans.views import FULL_VALUES, stream, table, view, view_sql
 from placeloom.schemas import place_type
 from placeloom.session import scratch_path
 from placeloom.sources import files
@@ -154,6 +154,67 @@ def probe_sample(spark, sf_dir):
     return normalize.probe_sample(normalize.normalize_payload(view(spark, sf_dir, "payloads_v")))
 
 
+_ALL = ", ".join(f"{value} as {column}" for column, value in FULL_VALUES.items())
+_ALL_FLAT = ", ".join(
+    f"({value})::int as {column}" if column in fixed.FLAG_COLUMNS else f"{value} as {column}"
+    for column, value in FULL_VALUES.items()
+)
+
+
+def _full_places(spark, sf_dir):
+    return normalize.normalize_payload(view(spark, sf_dir, "full_payloads_v"))
+
+
+@query("normalize_all_columns", f"select {_ALL} from events")
+def normalize_all_columns(spark, sf_dir):
+    """All 44 columns of payloads that fill every field."""
+    return _full_places(spark, sf_dir).select(*FULL_VALUES)
+
+
+# What only the dearest tier carries, and what the cheapest does.
+_FULL_ONLY = (
+    "editorial_summary takeout delivery dine_in reservable serves_breakfast serves_lunch serves_dinner serves_beer "
+    "serves_wine serves_vegetarian_food outdoor_seating good_for_children wheelchair_accessible_entrance"
+).split()
+_AS_RATED = ", ".join(
+    f"case when {str(column not in _FULL_ONLY).lower()} then {value} end as {column}" for column, value in FULL_VALUES.items()
+)
+
+
+@query("ratings_tier", f"select {_AS_RATED} from events")
+def ratings_tier(spark, sf_dir):
+    """The columns of the ratings tier; those beyond it are NULL."""
+    return normalize.project_tier(_full_places(spark, sf_dir).select(*fixed.PLACE_COLUMNS), "ratings").select(*FULL_VALUES)
+
+
+def _typed(rows):
+    kinds = {c: "int" if c in fixed.FLAG_COLUMNS else place_type(c).simpleString() for c in FULL_VALUES}
+    return rows.select(*[F.col(c).cast(kind).alias(c) for c, kind in kinds.items()])
+
+
+@query("export_csv_all_columns", f"select {_ALL_FLAT} from events")
+def export_csv_all_columns(spark, sf_dir):
+    """All 44 columns through the CSV export and back."""
+    path = scratch_path(spark, "export-csv")
+    files.export_csv(_full_places(spark, sf_dir).select(*fixed.PLACE_COLUMNS), path)
+    back = spark.read.csv(
+        path, header=True, multiLine=True, quote='"', escape='"',
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    )
+    return _typed(back)
+
+
+@query("export_json_all_columns", f"select {_ALL_FLAT} from events")
+def export_json_all_columns(spark, sf_dir):
+    """All 44 columns through the JSON export and back."""
+    path = scratch_path(spark, "export-json")
+    files.export_json(_full_places(spark, sf_dir).select(*fixed.PLACE_COLUMNS), path)
+    schema = ", ".join(
+        f"{c} {'int' if c in fixed.FLAG_COLUMNS else place_type(c).simpleString()}" for c in FULL_VALUES
+    )
+    return _typed(spark.read.schema(schema).json(path))
+
+
 _STANDARD = normalize.tier_columns("standard")
 _SHOWN = ["place_id", "name", "city", "latitude", "primary_type", "types", "phone", "rating",
           "user_rating_count", "takeout"]

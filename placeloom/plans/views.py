@@ -145,7 +145,91 @@ select
 from {events}
 """
 
+# Payloads that fill every field, and the value each field is to have in a place row.
+_KEY = "cast(event_id as string)"
+_FLAGS = {
+    "takeout": "takeout", "delivery": "delivery", "dine_in": "dineIn", "reservable": "reservable",
+    "serves_breakfast": "servesBreakfast", "serves_lunch": "servesLunch", "serves_dinner": "servesDinner",
+    "serves_beer": "servesBeer", "serves_wine": "servesWine", "serves_vegetarian_food": "servesVegetarianFood",
+    "outdoor_seating": "outdoorSeating", "good_for_children": "goodForChildren",
+}
+FULL_VALUES = {
+    "place_id": f"'F' || {_KEY}",
+    "name": f"'N ' || {_KEY}",
+    "formatted_address": f"'A' || {_KEY} || ', X'",
+    "short_address": f"'a' || {_KEY}",
+    "street_number": "cast(event_id % 50 as string)",
+    "street": "'R' || cast(event_id % 9 as string)",
+    "district": "'D' || cast(event_id % 7 as string)",
+    "city": "'C' || cast(event_id % 5 as string)",
+    "region": "'G' || cast(event_id % 4 as string)",
+    "postal_code": "cast(10000 + event_id % 100 as string)",
+    "country": "'Estonia'",
+    "country_code": "'EE'",
+    "latitude": "cast(event_id % 90 as double) + cast('0.5' as double)",
+    "longitude": "cast(event_id % 180 as double) + cast('0.25' as double)",
+    "google_maps_url": f"'https://m.example/' || {_KEY}",
+    "website": f"case when event_id % 2 = 0 then 'https://w.example/' || {_KEY} end",
+    "phone": f"'555 ' || {_KEY}",
+    "phone_international": f"'+372 555 ' || {_KEY}",
+    "rating": "cast(1 + event_id % 4 as double) + cast('0.5' as double)",
+    "user_rating_count": "event_id % 300",
+    "price_level": "cast(case when event_id % 6 < 5 then event_id % 6 end as int)",
+    "price_label": "case event_id % 6 when 0 then 'Free' when 1 then '$' when 2 then '$$' when 3 then '$$$' when 4 then '$$$$' end",
+    "business_status": "'OPERATIONAL'",
+    "primary_type": "event_type",
+    "primary_type_label": "'L ' || event_type",
+    "types": "event_type || ',food'",
+    "opening_hours": "'Mon: ' || cast(event_id % 12 as string) || chr(10) || 'Tue: closed'",
+    "open_now": "event_id % 2 = 0",
+    "editorial_summary": f"'E \"' || {_KEY} || '\"'",
+    **{c: f"case (event_id + {n}) % 3 when 0 then true when 1 then false end" for n, c in enumerate(_FLAGS)},
+    "wheelchair_accessible_entrance": "case (event_id + 12) % 3 when 0 then true when 1 then false end",
+    "utc_offset_minutes": "cast(event_id % 5 * 60 as int)",
+    "plus_code": f"'PC+' || {_KEY}",
+}
+
+
+def _full_payload() -> str:
+    """SQL of the payload that carries those values."""
+    value = FULL_VALUES
+    text = lambda key, column: f"',\"{key}\":\"' || {value[column]} || '\"'"
+    number = lambda key, column: f"',\"{key}\":' || cast({value[column]} as string)"
+    flag = lambda key, n: f"case (event_id + {n}) % 3 when 0 then '\"{key}\":true' when 1 then '\"{key}\":false' else '\"_{key}\":0' end"
+    part = lambda kind, column: f"'{{{{\"longText\":\"' || {value[column]} || '\",\"types\":[\"{kind}\"]}}}},'"
+    price = "FREE INEXPENSIVE MODERATE EXPENSIVE VERY_EXPENSIVE NO_SUCH".split()
+    cases = " ".join(f"when {n} then 'PRICE_LEVEL_{p}'" for n, p in enumerate(price))
+    pieces = [
+        f"'{{{{\"id\":\"' || {value['place_id']} || '\",\"displayName\":{{{{\"text\":\"' || {value['name']} || '\"}}}}'",
+        text("formattedAddress", "formatted_address"), text("shortFormattedAddress", "short_address"),
+        "',\"addressComponents\":['",
+        part("street_number", "street_number"), part("route", "street"), part("administrative_area_level_2", "district"),
+        part("postal_town", "city"), part("administrative_area_level_1", "region"), part("postal_code", "postal_code"),
+        "'{{\"longText\":\"Estonia\",\"shortText\":\"EE\",\"types\":[\"country\",\"political\"]}}]'",
+        f"',\"location\":{{{{\"latitude\":' || cast({value['latitude']} as string) || ',\"longitude\":' || cast({value['longitude']} as string) || '}}}}'",
+        text("googleMapsUri", "google_maps_url"),
+        f"case when event_id % 2 = 0 then ',\"websiteUri\":\"https://w.example/' || {_KEY} || '\"' else '' end",
+        text("nationalPhoneNumber", "phone"), text("internationalPhoneNumber", "phone_international"),
+        number("rating", "rating"), number("userRatingCount", "user_rating_count"),
+        f"',\"priceLevel\":\"' || case event_id % 6 {cases} end || '\"'",
+        text("businessStatus", "business_status"), text("primaryType", "primary_type"),
+        f"',\"primaryTypeDisplayName\":{{{{\"text\":\"' || {value['primary_type_label']} || '\"}}}}'",
+        "',\"types\":[\"' || event_type || '\",\"food\"]'",
+        "',\"regularOpeningHours\":{{\"openNow\":' || case when event_id % 2 = 0 then 'true' else 'false' end"
+        " || ',\"weekdayDescriptions\":[\"Mon: ' || cast(event_id % 12 as string) || '\",\"Tue: closed\"]}}'",
+        f"',\"editorialSummary\":{{{{\"text\":\"E ' || chr(92) || '\"' || {_KEY} || chr(92) || '\"\"}}}}'",
+        *[f"',' || {flag(key, n)}" for n, key in enumerate(_FLAGS.values())],
+        "',\"accessibilityOptions\":{{' || " + flag("wheelchairAccessibleEntrance", 12) + " || '}}'",
+        number("utcOffsetMinutes", "utc_offset_minutes"),
+        f"',\"plusCode\":{{{{\"globalCode\":\"' || {value['plus_code']} || '\"}}}}}}}}'",
+    ]
+    return " || ".join(pieces)
+
+
+VIEWS["full_payloads_v"] = f"select event_id, ts as seen_at, {_full_payload()} as payload from {{events}}"
+
 _NEEDS = {
+    "full_payloads_v": ["events"],
     "sightings_v": ["events"],
     "places_v": ["customer", "nation"],
     "curated_v": ["supplier", "places_v"],
