@@ -103,18 +103,49 @@ def token_score(target: Column, candidate: Column) -> Column:
     return F.when(both, best).otherwise(F.lit(0.0))
 
 
+def _masks(text: str) -> dict[str, int]:
+    """Of each letter the places it has in a text, as bits."""
+    found: dict[str, int] = {}
+    for place, letter in enumerate(text):
+        found[letter] = found.get(letter, 0) | 1 << place
+    return found
+
+
+def common_letters(masks: dict[str, int], size: int, other: str) -> int:
+    """Length of the longest common subsequence of a text, given by its masks, and another."""
+    row = (1 << size) - 1
+    for letter in other:
+        met = row & masks.get(letter, 0)
+        row = (row + met) | (row - met)
+    return size - (row & ((1 << size) - 1)).bit_count()
+
+
+def ratio_reaching(a: str, b: str, need: float, masks: dict[str, int] | None = None) -> float:
+    """The sequence ratio if it can reach ``need``, else 0.
+
+    What the ratio counts are common letters in order, so it is never above twice the
+    longest common subsequence over both lengths, which takes one step per letter.
+    """
+    most = 2.0 * common_letters(_masks(a) if masks is None else masks, len(a), b) / max(len(a) + len(b), 1)
+    return difflib.SequenceMatcher(None, a, b).ratio() if most >= need else 0.0
+
+
 @F.pandas_udf(T.DoubleType())
-def _sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    known: dict[tuple[str, str], float] = {}
+def _sequence_ratio(a: pd.Series, b: pd.Series, need: pd.Series) -> pd.Series:
+    known: dict[tuple[str, str, float], float] = {}
+    masks: dict[str, dict[str, int]] = {}
 
-    def ratio(x, y):
+    def ratio(x, y, least):
         if x is None or y is None:
             return None
-        if (x, y) not in known:
-            known[x, y] = difflib.SequenceMatcher(None, x, y).ratio()
-        return known[x, y]
+        key = (x, y, least)
+        if key not in known:
+            if x not in masks:
+                masks[x] = _masks(x)
+            known[key] = ratio_reaching(x, y, least, masks[x])
+        return known[key]
 
-    return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+    return pd.Series([ratio(x, y, n) for x, y, n in zip(a, b, need)], dtype="float64")
 
 
 def name_score(
@@ -128,7 +159,8 @@ def name_score(
 
     The sequence ratio can never exceed twice the shorter length over the total
     length, so pairs where that bound cannot beat the word score, or cannot
-    reach ``floor``, skip the UDF: their ratio would not change the outcome.
+    reach ``floor``, skip the UDF: their ratio would not change the outcome.  Of the
+    others the ratio itself is only worked out where the common letters allow it.
     """
     words = token_score(target_tokens, candidate_tokens)
     la, lb = F.length(target_norm), F.length(candidate_norm)
@@ -136,7 +168,7 @@ def name_score(
     both = (F.size(target_tokens) > 0) & (F.size(candidate_tokens) > 0)
     matters = both & (target_norm != candidate_norm) & (bound > words) & (bound >= floor)
     ratio = _sequence_ratio(
-        F.when(matters, target_norm), F.when(matters, candidate_norm)
+        F.when(matters, target_norm), F.when(matters, candidate_norm), F.greatest(words, F.lit(float(floor)))
     )
     same = F.when(both & (target_norm == candidate_norm), F.lit(1.0))
     return F.greatest(words, F.coalesce(same, ratio, F.lit(0.0)))
