@@ -196,6 +196,42 @@ def test_url_parts_and_rules(spark, fitted):
     assert url_filter.judge(urls.limit(0), fitted, RULES).collect() == []
 
 
+def plain_judgement(url):
+    """Host, path, rule and its verdict of a url, step by step."""
+    if url is None or "://" not in url:
+        return "", "", None, None
+    rest = url.split("://", 1)[1]
+    ends = [rest.index(c) for c in "/?#" if c in rest]
+    host, tail = rest[: min(ends, default=len(rest))], rest[min(ends, default=len(rest)) :]
+    stops = [tail.index(c) for c in "?#" if c in tail]
+    path = tail[: min(stops, default=len(tail))]
+    host = "".join(c.lower() if c.isascii() else c for c in host)
+    fits = []
+    for verdict, rule in RULES:
+        own, slash, part = rule.partition("/")
+        if (host == own or host.endswith("." + own)) and path.startswith(slash + part):
+            fits.append((len(rule), rule, verdict))
+    return host, path, *(max(fits)[1:] if fits else (None, None))
+
+
+def test_five_thousand_urls_against_plain_rules(spark, fitted):
+    rng = np.random.default_rng(8)
+    pick = lambda values: values[rng.integers(len(values))]
+    urls = []
+    for _ in range(5000):
+        host = pick(["", "www.", "A.B.", "x-", "ü."]) + pick(["example", "EXAMPLE", "other", "net", "org"]) + pick([".net", ".com", ".org", ".Net", ""])
+        path = pick(["", "/", "/en/", "/de/", "/fr/", "/en", "//en/", "/EN/"]) + pick(["", "a.html", "1840/", "?q=/fr/", "#/de/", "://x.org/fr/"])
+        urls.append(pick(["http://", "https://", "://", "", "a/b://", "://://"]) + host + path)
+    rows = [(k, u) for k, u in enumerate(urls + [None, "", "://", "http:///", "http://?", "x"])]
+    got = url_filter.judge(spark.createDataFrame(rows, "k long, url string"), fitted, RULES).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        host, path, rule, verdict = plain_judgement(r.url)
+        assert (r.host, r.path, r.rule) == (host, path, rule)
+        assert r.verdict == verdict if rule else r.verdict in ("allow", "block")
+        assert host or rule or r.verdict == "allow"
+
+
 def test_url_model_scores_by_hand(spark, fitted):
     """The verdict is the logistic function of the weights of the hashed n-grams."""
     urls = spark.createDataFrame([("http://casino.example.com/en/1",), ("http://garden.example.com/en/1",)], "url string")
