@@ -295,6 +295,46 @@ def test_ordinal_gradient_lowers_the_loss():
     assert ((reach >= 0.5).sum(axis=1) == grades).mean() > 0.95
 
 
+def plain_loss(weights, thresholds, text_of, number, value, grades, ridge):
+    """Mean of the negative logarithms of the chances of the grades, one text at a time."""
+    total = 0.0
+    for k, grade in enumerate(grades):
+        score = sum(weights[j] * v for t, j, v in zip(text_of, number, value) if t == k)
+        below = [0.0, *[1 / (1 + np.exp(score - b)) for b in thresholds], 1.0]
+        total -= np.log(below[grade + 1] - below[grade])
+    return total / len(grades) + ridge / 2 * sum(w * w for w in weights)
+
+
+def test_ordinal_fit_is_a_minimum_of_the_plain_loss():
+    """Finite differences of a loss written apart are flat at the fitted weights and thresholds."""
+    rng = np.random.default_rng(5)
+    text_of, number = np.repeat(np.arange(60), 3), rng.integers(0, 8, 180)
+    grades = np.minimum(np.bincount(text_of, number >= 5, 60).astype(int) + (rng.random(60) < 0.3), 2)
+    settings = quality_model.OrdinalSettings(bits=3, rounds=4000, step=0.01, ridge=0.05)
+    model = quality_model.fit(text_of, number, np.ones(180), grades, settings)
+    params = np.concatenate([model.weights, model.thresholds])
+
+    def loss(p):
+        return plain_loss(p[:8], p[8:], text_of, number, np.ones(180), grades, 0.05)
+
+    for k in range(len(params)):
+        step = np.zeros(len(params))
+        step[k] = 1e-4
+        assert abs(loss(params + step) - loss(params - step)) / 2e-4 < 2e-3
+        assert loss(params) < loss(params + 1000 * step) and loss(params) < loss(params - 1000 * step)
+
+
+def test_ordinal_scores_by_hand(spark):
+    docs, ratings = rated(spark)
+    model = quality_model.train(docs, ratings.where("doc_id < 100"), ratings.grade)
+    row = docs.where("doc_id = 200").first()
+    got = quality_model.score(docs.where("doc_id = 200"), model).first()
+    _, number, value = quality_model.features([row.text.encode()], model.bits)
+    score = sum(model.weights[j] * v for j, v in zip(number.tolist(), value.astype("<f4").tolist()))
+    reach = [1 - 1 / (1 + np.exp(score - b)) for b in model.thresholds]
+    assert got.expected_grade == pytest.approx(sum(reach), abs=1e-4)
+
+
 def test_ordinal_model_on_odd_rows(spark):
     docs, ratings = rated(spark)
     odd = spark.createDataFrame([(None, 1), (1, None), (0, 0), (0, 2)], "doc_id long, grade int")
