@@ -206,8 +206,9 @@ def fit_areas(areas: DataFrame, passes: int = fixed.FIT_PASSES) -> DataFrame:
     ``areas``: area_id, center_lat, center_lng, area_radius_m, south, west,
     north, east, cell_radius_m, budget (NULL keeps the given radius).  Areas
     that fit drop out of later passes; one whose radius hits the clamp may
-    never fit and keeps its last radius, as with any fixed number of passes.
-    Returns the areas with their radius, area_m2 and ``n_cells``.
+    never fit and keeps its last radius, as with any fixed number of passes:
+    ``fits`` is false for it.
+    Returns the areas with their radius, area_m2, ``n_cells`` and ``fits``.
     """
     target = F.greatest(F.lit(1), F.floor(F.col("budget") * F.lit(fixed.BUDGET_GRID_SHARE)))
     pending = start_radius(areas)
@@ -230,7 +231,7 @@ def fit_areas(areas: DataFrame, passes: int = fixed.FIT_PASSES) -> DataFrame:
     fitted = done[0]
     for part in done[1:]:
         fitted = fitted.unionByName(part)
-    return fitted
+    return fitted.withColumn("fits", ~over)
 
 
 def estimate_cost(fitted: DataFrame, min_reviews: int, price_per_call: float) -> DataFrame:

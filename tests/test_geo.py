@@ -128,6 +128,9 @@ def test_budgets_fit(spark):
             assert area.n_cells <= max(1, int(area.budget * 0.7))
         if area.budget:
             assert area.cell_radius_m >= 25.0
+        assert area.fits == (area.budget is None or area.n_cells <= max(1, int(area.budget * 0.7)))
+    first = cover.fit_areas(spark.createDataFrame(rows, schema), passes=0).collect()
+    assert not all(a.fits for a in first) and all(a.fits for a in first if a.budget is None)
 
 
 def test_estimates(spark):
