@@ -19,6 +19,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -89,8 +90,8 @@ def _block_rows(block: int, buckets: int, ids: list, sizes: list[int], counts: l
         rows.append({"block": block, "bucket": bucket, "tokens": zstandard.compress("\n".join(tokens).encode(), 3)})
     lengths = np.array([len(found) for found in counts], np.int64)
     total = int(lengths.sum())
-    where = np.fromiter((place[token] for found in counts for token in found), np.int64, total)
-    often = np.fromiter((n for found in counts for n in found.values()), np.int64, total)
+    where = np.fromiter(map(place.__getitem__, chain.from_iterable(counts)), np.int64, total)
+    often = np.fromiter(chain.from_iterable(found.values() for found in counts), np.int64, total)
     # Places of a document in order, as steps from one to the next.
     order = np.lexsort((where, np.repeat(np.arange(len(counts)), lengths)))
     where, often = where[order], often[order]
@@ -137,12 +138,12 @@ def _cut(buckets: int, schema: pa.Schema):
 def _count(path: str, schema: pa.Schema):
     def count(rows: pa.Table) -> pa.Table:
         lists = [zstandard.decompress(x.as_py()).decode().split("\n") for x in rows["tokens"]]
-        distinct = sorted({token for tokens in lists for token in tokens})
+        distinct = list(set(chain.from_iterable(lists)))
         pieces: dict[str, int] = {}
         for at in range(0, len(distinct), 20_000):
             part = distinct[at : at + 20_000]
             pieces.update(zip(part, piece_counts(part, path)))
-        out = [_packed(np.fromiter((pieces[t] for t in tokens), np.int64, len(tokens))) for tokens in lists]
+        out = [_packed(np.fromiter(map(pieces.__getitem__, tokens), np.int64, len(tokens))) for tokens in lists]
         return pa.table([rows["block"], rows["bucket"], pa.array(out, pa.binary())], schema=schema)
 
     return count
