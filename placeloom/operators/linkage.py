@@ -29,9 +29,11 @@ from placeloom.functions.text import (
 from placeloom.operators.filters import is_closed
 from placeloom.operators.grid import GRID_KEY, bucket_circles, bucket_points, class_of
 from placeloom.operators.skew import BROADCAST_ROWS, SIDE_ROWS, balanced_join, is_small
-from placeloom.session import materialize
+from placeloom.session import materialize, shuffle_width
 
 LINKS = "target_id", "evidence", "record_pos", "distance_m"
+# The line that every record is on; no phone key, which is digits alone.
+_ALL_LINES = "*"
 
 
 def linkage_columns(
@@ -61,16 +63,6 @@ def _with_score(pairs: DataFrame, floor: float, out: str) -> DataFrame:
     return words.withColumn(out, score).drop("_tw", "_rw")
 
 
-def _drop_vetoed(pairs: DataFrame) -> DataFrame:
-    """Phones on both sides that differ veto a pair unless the names vouch."""
-    differ = phones_disagree(F.col("t_phone"), F.col("r_phone"))
-    checked = pairs.withColumn("_differ", differ)
-    clear = checked.where(~F.col("_differ"))
-    doubtful = _with_score(checked.where("_differ"), fixed.NAME_VOUCH_SCORE, "_score")
-    vouched = doubtful.where(F.col("_score") >= fixed.NAME_VOUCH_SCORE)
-    return clear.unionByName(vouched.drop("_score")).drop("_differ")
-
-
 def _reduce(records: DataFrame, targets: DataFrame, keys: list[str], small: bool) -> DataFrame:
     """Only records that share a key with a target, when those are few."""
     if not small:
@@ -86,27 +78,32 @@ def _meet(
     judged: list[str],
     broadcast_rows: int,
     side_rows: int,
+    identity: str = "target_no",
+    **found: Column,
 ) -> DataFrame:
     """Pairs with known distance within ``limit_m`` and equal ``extra_keys``.
 
     Records that agree on position, keys and the ``judged`` columns are copies:
-    the first in record order stands for all.
+    the first in record order stands for all, or the aggregates ``found`` do.
     """
     radius = F.lit(float(limit_m))
     keys = [*GRID_KEY, *extra_keys]
+    traits = ["r_lat", "r_lng", *judged]
+    found = found or {"record_pos": F.min("record_pos")}
     left = bucket_circles(targets, "t_lat", "t_lng", radius)
     right = bucket_points(records, "r_lat", "r_lng", [class_of(limit_m)])
     small = is_small(left, broadcast_rows)
     right = _reduce(right, left, keys, small)
-    right = right.groupBy(*keys, "r_lat", "r_lng", *judged).agg(
-        F.min("record_pos").alias("record_pos")
-    )
+    right = right.groupBy(*keys, *traits).agg(*[c.alias(name) for name, c in found.items()])
+    if small:
+        # What is left is short, but each row meets many targets, whose names are compared.
+        right = right.repartition(shuffle_width(records.sparkSession), *keys, *traits)
     pairs = balanced_join(
         left,
         right,
         keys,
-        ["target_no"],
-        ["record_pos"],
+        [identity],
+        traits,
         broadcast_rows,
         side_rows,
         left_rows=0 if small else broadcast_rows + 1,
@@ -115,56 +112,89 @@ def _meet(
     return pairs.withColumn("distance_m", distance).where(F.col("distance_m") <= radius)
 
 
-def _key_stage(
+def _key_pairs(
     targets: DataFrame,
     records: DataFrame,
-    key: str,
+    keys: list[str],
     limit_m: float,
-    veto: bool,
-    broadcast_rows: int = BROADCAST_ROWS,
-    side_rows: int = SIDE_ROWS,
+    judged: list[str],
+    broadcast_rows: int,
+    side_rows: int,
 ) -> DataFrame:
-    """Best record per target among those sharing the exact key.
+    """Records that may win for a target among those sharing the exact keys.
 
-    An unknown distance beats any known one and takes the first record;
-    otherwise the nearest within the limit wins, ties to the earlier record.
-    Unknown distances need no pairs per place: per key (and, where the veto
-    must look, per phone and name) only the first record overall and the first
-    without a position can win.
+    Unknown distances need no pairs per place: per key (and what is judged) only
+    the first record overall can win for a target without a position, and only
+    the first without one for the others.
     """
-    targets = targets.withColumn("key", F.col(f"t_{key}")).where("key is not null")
-    records = records.withColumn("key", F.col(f"r_{key}")).where("key is not null")
-    judged = ["r_phone", "r_norm"] if veto else []
+    placed = targets.withColumn("placed", F.col("t_lat").isNotNull())
     small = is_small(targets, broadcast_rows)
-
     unplaced = F.when(F.col("r_lat").isNull(), F.col("record_pos"))
-    groups = _reduce(records, targets, ["key"], small).groupBy("key", *judged).agg(
+    groups = _reduce(records, targets, keys, small).groupBy(*keys, *judged).agg(
         F.min("record_pos").alias("first_any"), F.min(unplaced).alias("first_unplaced")
     )
+    firsts = F.array(
+        F.struct(F.lit(False).alias("placed"), F.col("first_any").alias("record_pos")),
+        F.struct(F.lit(True).alias("placed"), F.col("first_unplaced").alias("record_pos")),
+    )
+    groups = groups.select(*keys, *judged, F.inline(firsts)).where("record_pos is not null")
     met = balanced_join(
-        targets,
+        placed,
         groups,
-        ["key"],
+        [*keys, "placed"],
         ["target_no"],
-        ["first_any"],
+        ["record_pos"],
         broadcast_rows,
         side_rows,
         left_rows=0 if small else broadcast_rows + 1,
     )
-    first = F.when(F.col("t_lat").isNull(), F.col("first_any")).otherwise(
-        F.col("first_unplaced")
-    )
-    met = met.withColumn("record_pos", first).where("record_pos is not null")
-    near = _meet(targets, records, limit_m, ["key"], judged, broadcast_rows, side_rows)
-
-    columns = ["target_no", "record_pos", "distance_m"]
-    if veto:
-        columns += ["t_phone", "t_norm", "r_phone", "r_norm"]
-    candidates = met.withColumn("distance_m", F.lit(None).cast("double")).select(
+    near = _meet(targets, records, limit_m, keys, judged, broadcast_rows, side_rows)
+    columns = ["target_no", "t_norm", *judged, "record_pos", "distance_m"]
+    return met.withColumn("distance_m", F.lit(None).cast("double")).select(
         *columns
     ).unionByName(near.select(*columns))
+
+
+def _key_stage(
+    targets: DataFrame,
+    records: DataFrame,
+    key: str,
+    limit_m: float,
+    veto: bool,
+    broadcast_rows: int = BROADCAST_ROWS,
+    side_rows: int = SIDE_ROWS,
+) -> DataFrame:
+    """Best record per target among those sharing the exact key.
+
+    An unknown distance beats any known one and takes the first record;
+    otherwise the nearest within the limit wins, ties to the earlier record.
+    Phones on both sides that differ veto a pair unless the names vouch.  So a
+    target with a phone takes any record with the same one or none, whatever the
+    names, and else one whose name vouches, whatever its phone: records are
+    copies without regard to the phone.
+    """
+    sizes = broadcast_rows, side_rows
+    targets = targets.withColumn("key", F.col(f"t_{key}")).where("key is not null")
+    records = records.withColumn("key", F.col(f"r_{key}")).where("key is not null")
+    columns = ["target_no", "record_pos", "distance_m"]
     if veto:
-        candidates = _drop_vetoed(candidates)
+        # A record is on the line of its phone, which is empty without one, and on that of all.
+        own = lambda c: F.coalesce(F.col(c), F.lit(""))
+        lines = F.when(F.col("t_phone").isNull(), F.array(F.lit(_ALL_LINES))).otherwise(
+            F.array(F.lit(""), F.col("t_phone"))
+        )
+        clear = _key_pairs(
+            targets.withColumn("line", F.explode(lines)),
+            records.withColumn("line", F.explode(F.array(F.lit(_ALL_LINES), own("r_phone")))),
+            ["key", "line"], limit_m, [], *sizes,
+        )
+        calling = targets.where("t_phone is not null")
+        doubtful = _key_pairs(calling, records, ["key"], limit_m, ["r_norm"], *sizes)
+        scored = _with_score(doubtful, fixed.NAME_VOUCH_SCORE, "_score")
+        vouched = scored.where(F.col("_score") >= fixed.NAME_VOUCH_SCORE)
+        candidates = clear.select(*columns).unionByName(vouched.select(*columns))
+    else:
+        candidates = _key_pairs(targets, records, ["key"], limit_m, [], *sizes)
     # NULL distance sorts first in a struct minimum, as the rule wants.
     best = F.min(F.struct("distance_m", "record_pos")).alias("best")
     return candidates.groupBy("target_no").agg(best).select(
@@ -178,19 +208,57 @@ def _name_stage(
     broadcast_rows: int = BROADCAST_ROWS,
     side_rows: int = SIDE_ROWS,
 ) -> DataFrame:
-    """Best-scoring name within reach; distance does not break ties, order does."""
+    """Best-scoring name within reach; distance does not break ties, order does.
+
+    Position and name decide score and distance, so they meet once per spot:
+    targets, and records, that agree on both.  The veto needs no pairs per phone:
+    where the names vouch the first record of a spot wins; where they only match,
+    a target without a phone takes the first too, and one with a phone the first
+    without one, or one with the same phone, which is met by the phone.
+    """
+    sizes = broadcast_rows, side_rows
+    traits = ["t_lat", "t_lng", "t_norm"]
+    # One minimum per phone first, as copies are told by the phone too.
+    records = records.groupBy("r_lat", "r_lng", "r_norm", "r_phone").agg(
+        F.min("record_pos").alias("record_pos")
+    )
+    placed = targets.where("t_lat is not null").withColumn(
+        "spot_no", F.md5(F.to_json(F.struct(*traits)))
+    )
+    spots = placed.groupBy("spot_no").agg(*[F.first(c).alias(c) for c in traits])
+    first = F.struct("record_pos")
     pairs = _meet(
-        targets, records, fixed.NAME_MAX_M, [], ["r_phone", "r_norm"], broadcast_rows, side_rows
+        spots, records, fixed.NAME_MAX_M, [], ["r_norm"], *sizes, "spot_no",
+        first_any=F.min(first),
+        first_silent=F.min(F.when(F.col("r_phone").isNull(), first)),
     )
+    score = F.col("score")
     # One score serves both the match and the veto.
-    scored = _with_score(pairs, fixed.NAME_MIN_SCORE, "score")
-    differ = phones_disagree(F.col("t_phone"), F.col("r_phone"))
-    needed = F.when(differ, F.lit(fixed.NAME_VOUCH_SCORE)).otherwise(
-        F.lit(fixed.NAME_MIN_SCORE)
+    matching = lambda found: _with_score(found, fixed.NAME_MIN_SCORE, "score").where(
+        score >= fixed.NAME_MIN_SCORE
+    )
+    ranked = lambda position: F.struct(
+        (-score).alias("s"), position.alias("record_pos"), "distance_m"
+    )
+    unvetoed = F.when(score >= fixed.NAME_VOUCH_SCORE, F.col("first_any")).otherwise(
+        F.col("first_silent")
+    )
+    of_spot = matching(pairs).groupBy("spot_no").agg(
+        F.min(ranked(F.col("first_any.record_pos"))).alias("silent"),
+        F.min(F.when(unvetoed.isNotNull(), ranked(unvetoed["record_pos"]))).alias("calling"),
+    )
+    by_spot = placed.select("target_no", "t_phone", "spot_no").join(of_spot, "spot_no").select(
+        "target_no",
+        F.when(F.col("t_phone").isNull(), F.col("silent")).otherwise(F.col("calling")).alias("best"),
+    )
+    same_phone = _meet(
+        targets.withColumn("key", F.col("t_phone")).where("key is not null"),
+        records.withColumn("key", F.col("r_phone")).where("key is not null"),
+        fixed.NAME_MAX_M, ["key"], ["r_norm"], *sizes,
     )
-    passing = scored.where(F.col("score") >= needed)
-    best = F.min(F.struct((-F.col("score")).alias("s"), "record_pos", "distance_m")).alias("best")
-    return passing.groupBy("target_no").agg(best).select(
+    by_phone = matching(same_phone).select("target_no", ranked(F.col("record_pos")).alias("best"))
+    passing = by_spot.where("best is not null").unionByName(by_phone)
+    return passing.groupBy("target_no").agg(F.min("best").alias("best")).select(
         "target_no",
         F.col("best.record_pos").alias("record_pos"),
         F.col("best.distance_m").alias("distance_m"),
