@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from placeloom import fixed
 from placeloom.functions.geo import haversine_m
 from placeloom.operators.skew import BROADCAST_ROWS, SIDE_ROWS, balanced_join
+from placeloom.session import shuffle_width
 
 # Metres per degree used for bucket sizes and boxes.  Must not exceed what the
 # distance formula implies (about 111,195), or boxes lose points on the edge.
@@ -164,6 +165,9 @@ def within_circles(
     if profile is None:
         profile = profile_circles(circles, radius, lat, lng)
     left = bucket_circles(circles, lat, lng, radius)
+    if profile.rows <= broadcast_rows:
+        # Each point meets its circles where it is read, and a file of millions of them may be one task.
+        points = points.repartition(shuffle_width(points.sparkSession))
     right = bucket_points(points, point_at[0], point_at[1], list(profile.classes) or [0])
     pairs = balanced_join(
         left,
