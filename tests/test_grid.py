@@ -129,6 +129,6 @@ def test_points_of_one_task_are_spread(spark):
     """Points read by a single task meet their circles in several."""
     circles = spark.createDataFrame([(k, 59.0, 24.0, 500.0) for k in range(3)], "c int, lat double, lng double, radius_m double")
     points = spark.range(400).coalesce(1).selectExpr("id as p", "59D as p_lat", "24D + id * 1e-6D as p_lng")
-    pairs = grid.within_circles(circles, points, ["c"], ["p"])
+    pairs = within_circles(circles, points, ["c"], ["p"])
     per_task = pairs.groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in per_task) == 1200 and max(r["count"] for r in per_task) <= 600
