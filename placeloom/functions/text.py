@@ -91,7 +91,7 @@ def token_score(target: Column, candidate: Column) -> Column:
     """
     shared = F.array_intersect(target, candidate)
     union = F.size(F.array_union(target, candidate))
-    jaccard = F.size(shared) / union
+    jaccard = F.try_divide(F.size(shared), union)
     long_shared = F.exists(shared, lambda w: F.length(w) >= fixed.SHARED_WORD_LENGTH)
     covered = (F.size(shared) == F.size(target)) & (F.size(target) >= 2)
     best = F.greatest(
@@ -164,7 +164,7 @@ def name_score(
     """
     words = token_score(target_tokens, candidate_tokens)
     la, lb = F.length(target_norm), F.length(candidate_norm)
-    bound = F.lit(2.0) * F.least(la, lb) / (la + lb)
+    bound = F.try_divide(F.lit(2.0) * F.least(la, lb), la + lb)
     both = (F.size(target_tokens) > 0) & (F.size(candidate_tokens) > 0)
     matters = both & (target_norm != candidate_norm) & (bound > words) & (bound >= floor)
     ratio = _sequence_ratio(

@@ -110,9 +110,9 @@ def bucket_points(points: DataFrame, lat: str, lng: str, classes: list[int]) ->
     ).drop("_k")
 
 
-def _spans(lat: Column, lng: Column, radius: Column) -> Column:
+def _spans(lat: Column, lng: Column, radius: Column, g_class: Column | None = None) -> Column:
     """The rows a circle's bounding box touches: per row its number of columns, the first and how many are listed."""
-    g_class = radius_class(radius)
+    g_class = radius_class(radius) if g_class is None else g_class
     reach = radius / F.lit(_BOX_M_PER_DEGREE)
     height = _row_height(g_class)
     rows = F.sequence(F.floor((lat - reach) / height), F.floor((lat + reach) / height))
@@ -130,11 +130,14 @@ def _spans(lat: Column, lng: Column, radius: Column) -> Column:
     return F.transform(rows, span)
 
 
-def bucket_circles(circles: DataFrame, lat: str, lng: str, radius: Column) -> DataFrame:
-    """Every bucket a circle's bounding box touches, in its own radius class."""
+def bucket_circles(
+    circles: DataFrame, lat: str, lng: str, radius: Column, wider: int | None = None
+) -> DataFrame:
+    """Every bucket a circle's bounding box touches, in its own radius class or a ``wider`` one for all."""
     lat_c, lng_c = F.col(lat), F.col(lng)
+    g_class = radius_class(radius) if wider is None else F.lit(wider)
     keyed = circles.where(lat_c.isNotNull() & lng_c.isNotNull() & radius.isNotNull()).select(
-        "*", radius_class(radius).alias("g_class"), F.explode(_spans(lat_c, lng_c, radius)).alias("_span")
+        "*", g_class.alias("g_class"), F.explode(_spans(lat_c, lng_c, radius, g_class)).alias("_span")
     )
     s = F.col("_span")
     columns = F.transform(F.sequence(F.lit(0).cast("bigint"), s["listed"] - 1), lambda k: F.pmod(s["first"] + k, s["n"]))

@@ -13,7 +13,7 @@ to one row per target inside each task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placeloom import fixed
@@ -28,6 +28,7 @@ from placeloom.functions.text import (
 )
 from placeloom.operators.filters import is_closed
 from placeloom.operators.grid import GRID_KEY, bucket_circles, bucket_points, class_of
+from placeloom.operators.name_search import best_names
 from placeloom.operators.skew import BROADCAST_ROWS, SIDE_ROWS, balanced_join, is_small
 from placeloom.session import materialize, shuffle_width
 
@@ -78,23 +79,20 @@ def _meet(
     judged: list[str],
     broadcast_rows: int,
     side_rows: int,
-    identity: str = "target_no",
-    **found: Column,
 ) -> DataFrame:
     """Pairs with known distance within ``limit_m`` and equal ``extra_keys``.
 
     Records that agree on position, keys and the ``judged`` columns are copies:
-    the first in record order stands for all, or the aggregates ``found`` do.
+    the first in record order stands for all.
     """
     radius = F.lit(float(limit_m))
     keys = [*GRID_KEY, *extra_keys]
     traits = ["r_lat", "r_lng", *judged]
-    found = found or {"record_pos": F.min("record_pos")}
     left = bucket_circles(targets, "t_lat", "t_lng", radius)
     right = bucket_points(records, "r_lat", "r_lng", [class_of(limit_m)])
     small = is_small(left, broadcast_rows)
     right = _reduce(right, left, keys, small)
-    right = right.groupBy(*keys, *traits).agg(*[c.alias(name) for name, c in found.items()])
+    right = right.groupBy(*keys, *traits).agg(F.min("record_pos").alias("record_pos"))
     if small:
         # What is left is short, but each row meets many targets, whose names are compared.
         right = right.repartition(shuffle_width(records.sparkSession), *keys, *traits)
@@ -102,7 +100,7 @@ def _meet(
         left,
         right,
         keys,
-        [identity],
+        ["target_no"],
         traits,
         broadcast_rows,
         side_rows,
@@ -217,47 +215,35 @@ def _name_stage(
     without one, or one with the same phone, which is met by the phone.
     """
     sizes = broadcast_rows, side_rows
-    traits = ["t_lat", "t_lng", "t_norm"]
+    traits = ["t_lat", "t_lng", "t_norm", "calling"]
     # One minimum per phone first, as copies are told by the phone too.
     records = records.groupBy("r_lat", "r_lng", "r_norm", "r_phone").agg(
         F.min("record_pos").alias("record_pos")
     )
-    placed = targets.where("t_lat is not null").withColumn(
-        "spot_no", F.md5(F.to_json(F.struct(*traits)))
-    )
+    placed = targets.where("t_lat is not null").withColumn("calling", F.col("t_phone").isNotNull())
+    placed = placed.withColumn("spot_no", F.md5(F.to_json(F.struct(*traits))))
     spots = placed.groupBy("spot_no").agg(*[F.first(c).alias(c) for c in traits])
     first = F.struct("record_pos")
-    pairs = _meet(
-        spots, records, fixed.NAME_MAX_M, [], ["r_norm"], *sizes, "spot_no",
-        first_any=F.min(first),
-        first_silent=F.min(F.when(F.col("r_phone").isNull(), first)),
-    )
-    score = F.col("score")
-    # One score serves both the match and the veto.
-    matching = lambda found: _with_score(found, fixed.NAME_MIN_SCORE, "score").where(
-        score >= fixed.NAME_MIN_SCORE
-    )
-    ranked = lambda position: F.struct(
-        (-score).alias("s"), position.alias("record_pos"), "distance_m"
-    )
-    unvetoed = F.when(score >= fixed.NAME_VOUCH_SCORE, F.col("first_any")).otherwise(
-        F.col("first_silent")
+    places = records.groupBy("r_lat", "r_lng", "r_norm").agg(
+        F.min(first).alias("first_any"),
+        F.min(F.when(F.col("r_phone").isNull(), first)).alias("first_silent"),
     )
-    of_spot = matching(pairs).groupBy("spot_no").agg(
-        F.min(ranked(F.col("first_any.record_pos"))).alias("silent"),
-        F.min(F.when(unvetoed.isNotNull(), ranked(unvetoed["record_pos"]))).alias("calling"),
-    )
-    by_spot = placed.select("target_no", "t_phone", "spot_no").join(of_spot, "spot_no").select(
-        "target_no",
-        F.when(F.col("t_phone").isNull(), F.col("silent")).otherwise(F.col("calling")).alias("best"),
+    distance = haversine_m(F.col("t_lat"), F.col("t_lng"), F.col("r_lat"), F.col("r_lng"))
+    ranked = F.struct((-F.col("score")).alias("s"), "record_pos", distance.alias("distance_m"))
+    of_spot = best_names(spots, places, fixed.NAME_MAX_M, *sizes).groupBy("spot_no").agg(
+        F.min(ranked).alias("best")
     )
+    by_spot = placed.select("target_no", "spot_no").join(of_spot, "spot_no").select("target_no", "best")
     same_phone = _meet(
         targets.withColumn("key", F.col("t_phone")).where("key is not null"),
         records.withColumn("key", F.col("r_phone")).where("key is not null"),
         fixed.NAME_MAX_M, ["key"], ["r_norm"], *sizes,
     )
-    by_phone = matching(same_phone).select("target_no", ranked(F.col("record_pos")).alias("best"))
-    passing = by_spot.where("best is not null").unionByName(by_phone)
+    ranked = F.struct((-F.col("score")).alias("s"), "record_pos", "distance_m")
+    by_phone = _with_score(same_phone, fixed.NAME_MIN_SCORE, "score").where(
+        F.col("score") >= fixed.NAME_MIN_SCORE
+    )
+    passing = by_spot.unionByName(by_phone.select("target_no", ranked.alias("best")))
     return passing.groupBy("target_no").agg(F.min("best").alias("best")).select(
         "target_no",
         F.col("best.record_pos").alias("record_pos"),
