@@ -8,7 +8,8 @@ Copies are collapsed on both sides before anything is paired: records that
 agree on everything a stage looks at keep their first position, targets that
 agree are linked once and their answer is handed to all of them.  Pairs meet on
 the stage's key plus a grid bucket, through the balanced join, and are reduced
-to one row per target inside each task.
+to one row per target inside each task.  The name stage has no key but the place:
+its pairs are searched inside blocks (``name_search``) and never become rows.
 """
 
 from __future__ import annotations
